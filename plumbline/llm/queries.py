@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality, simhash
+from plumbline.llm import packing, quality, simhash, substrings
 
 
 def tokenizer_path() -> str:
@@ -30,6 +30,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_words_before").alias("n_words"), F.col("n_words_removed").alias("n_removed"), F.col("kept_digest").alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     judged = quality.assess(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
@@ -37,7 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
