@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, packing, quality, sharding, simhash, substrings
+from plumbline.llm import decontaminate, packing, quality, sharding, simhash, substrings, warc
 
 
 def tokenizer_path() -> str:
@@ -26,14 +26,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_sharding": op7_sharding, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
