@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, packing, quality, sharding, simhash, substrings, warc
+from plumbline.llm import decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
 
 
 def tokenizer_path() -> str:
@@ -38,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
