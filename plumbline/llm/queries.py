@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
+from plumbline.llm import decontaminate, html_text, licenses, packing, quality, sharding, simhash, substrings, warc
 
 
 def tokenizer_path() -> str:
@@ -46,6 +46,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("n_words_before").alias("n_words"), F.col("n_words_removed").alias("n_removed"), F.col("kept_digest").alias("kept_sha256"))
@@ -58,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_html": op8_html, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
