@@ -48,29 +48,39 @@ def edit_distances(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
 
 
 class Walks:
-    """Repetitions for items of one length: bits of the walk, and the sampled places."""
+    """Repetitions for items of one length: bits of the walk, and the sampled places.
+
+    Every other repetition walks backwards from the window's end, so that edits at one end spoil half of them only.
+    Places are sampled from the first n steps, on which a walk reads about half of the window.
+    """
 
     def __init__(self, n: int, repeats: int, samples: int, rng: np.random.Generator):
-        self.n = n
-        steps = 3 * n
-        self.bits = rng.integers(0, 2, (repeats, steps, _CLASSES), dtype=np.uint8)
-        # Later places are reached by ever fewer walks in step, and padding says nothing: sample where words are read.
-        self.places = [sorted(rng.choice(max(1, int(1.5 * n)), min(samples, max(1, int(1.5 * n))), replace=False).tolist()) for _ in range(repeats)]
+        self.n, samples = n, min(samples, n)
+        self.bits = rng.integers(0, 2, (repeats, n, _CLASSES), dtype=np.uint8)
+        self.places = [sorted(rng.choice(n, samples, replace=False).tolist()) for _ in range(repeats)]
         self.salt = rng.integers(1, 1 << 62, samples, dtype=np.int64) * 2 + 1
 
-    def keys(self, rep: int, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The sampled places' words, hashed to one integer, of the windows that begin at ``starts``."""
-        at, end, key, k = starts.copy(), starts + self.n, np.zeros(len(starts), np.int64), 0
-        places = self.places[rep]
-        for step in range(places[-1] + 1):
-            inside = at < end
-            word = np.where(inside, words[np.minimum(at, end - 1)], -1)
-            if step == places[k]:
-                key = key * self.salt[k] + (word + 2) * self.salt[-1 - k]
-                key ^= (key >> 29) & 0x7FFFFFFFF
-                k += 1
-            at += self.bits[rep, step, word % _CLASSES]
-        return key
+    def keys(self, rep: int, words: np.ndarray, starts: np.ndarray, met: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Indices of the windows at ``starts`` and the hashes of their sampled words, after each place.  With ``met``, hashes
+        that items have after each place, a window is dropped at the first place where no item has its hash."""
+        own, key, out = np.arange(len(starts)), np.zeros(len(starts), np.int64), []
+        first, turn = (starts + self.n - 1, -1) if rep % 2 else (starts, 1)
+        off, step = np.zeros(len(starts), np.int64), 0
+        for k, place in enumerate(self.places[rep]):
+            while True:
+                word = np.where(off < self.n, words[first + turn * np.minimum(off, self.n - 1)], -1)
+                if step == place:
+                    break
+                off += self.bits[rep, step, word % _CLASSES]
+                step += 1
+            key = key * self.salt[k] + (word + 2) * self.salt[-1 - k]
+            key ^= (key >> 29) & 0x7FFFFFFFF
+            out.append(key)
+            if met is not None:
+                near = np.minimum(np.searchsorted(met[k], key), len(met[k]) - 1)
+                go = met[k][near] == key
+                own, key, off, first = own[go], key[go], off[go], first[go]
+        return own, [*out[:-1], key]
 
 
 class Benchmark:
@@ -91,9 +101,9 @@ class Benchmark:
             walks = Walks(n, self._repeats(words, most, recall, samples, max_repeats, rng), samples, rng)
             tables = []
             for rep in range(len(walks.places)):
-                key = walks.keys(rep, words.ravel(), np.arange(len(own)) * n)
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], order))
+                _, after = walks.keys(rep, words.ravel(), np.arange(len(own)) * n)
+                order = np.argsort(after[-1], kind="stable")
+                tables.append((after[-1][order], order, [np.unique(x) for x in after]))
             self.classes.append((n, most, [i for i, _ in own], words, walks, tables))
         self.member = np.zeros((len(self.classes), len(self.vocabulary) + 1), np.uint8)
         for c, own in enumerate(self.classes):
@@ -114,7 +124,7 @@ class Benchmark:
                 copy[at : at + (kind < 2)] = [int(rng.integers(1 << 30, 1 << 31))] * (kind != 1)
             both = np.array(item + (copy + [0] * n)[:n], np.int64)
             for rep in range(16):
-                a, b = trial.keys(rep, both, np.array([0, n]))
+                a, b = trial.keys(rep, both, np.array([0, n]))[1][-1]
                 hits, tries = hits + (a == b), tries + 1
         p = max(hits / tries, 1e-3)
         return int(min(max_repeats, max(4, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))))))
@@ -142,11 +152,11 @@ class Benchmark:
             inside = at + n <= ends[doc]
             at, doc = at[inside], doc[inside]
             pairs = []
-            for rep, (keys, order) in enumerate(tables):
-                key = walks.keys(rep, words, at)
-                lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            for rep, (keys, order, met) in enumerate(tables):
+                own, after = walks.keys(rep, words, at, met)
+                lo, hi = np.searchsorted(keys, after[-1]), np.searchsorted(keys, after[-1], "right")
                 m = hi - lo
-                w = np.repeat(np.arange(len(at)), m)
+                w = np.repeat(own, m)
                 pairs.append(w * len(items) + order[np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(len(w))])
             pairs = np.unique(np.concatenate(pairs))
             for i in range(0, len(pairs), 50_000):
