@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, licenses, packing, quality, sharding, simhash, substrings, warc
+from plumbline.llm import decontaminate, html_text, licenses, lm_score, packing, quality, sharding, simhash, substrings, warc
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_html": op8_html, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_html": op8_html, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

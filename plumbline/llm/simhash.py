@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, utf8
+from plumbline.llm.common import cut, doc_key, utf8
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -199,6 +199,18 @@ def links(fps: DataFrame, radius: int = 4, per_shard: int = 2000, hot: int = 409
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints(fp, ident)`` -> ``(fp_, least)``: the least ``ident`` of each fingerprint's component."""
+    nodes = prints.groupBy("fp").agg(F.min("ident").alias("least"))
+    edges = links(nodes.select("fp"), radius)
+    near = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("top"))
+    owned = cut(nodes.join(near, "fp", "left").select("fp", "least", F.coalesce("top", "fp").alias("top")))
+    # Only components of several fingerprints need their least member looked up.
+    several = near.select("top").distinct()
+    found = owned.join(several, "top").groupBy("top").agg(F.min("least").alias("of_all"))
+    return owned.join(found, "top", "left").select(F.col("fp").alias("fp_"), F.coalesce("of_all", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 
@@ -208,12 +220,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns of ``docs`` are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(nodes.select("fp"), radius)
-    near = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("top"))
-    owned = cut(nodes.join(near, "fp", "left").select("fp", "least", F.coalesce("top", "fp").alias("top")))
-    # Only components of several fingerprints need their smallest id looked up.
-    several = near.select("top").distinct()
-    ids = owned.join(several, "top").groupBy("top").agg(F.min("least").alias("component_id"))
-    by_print = owned.join(ids, "top", "left").select(F.col("fp").alias("fp_"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(by_print, prints.fp == by_print.fp_).select("doc_id", "fp", "component_id")
+    least = _classes(prints.select("fp", F.col("doc_id").alias("ident")), radius)
+    return prints.join(least, prints.fp == least.fp_).select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each component: the one of the smallest id
+    stays (a null id counts as larger than any).  Of rows that repeat an id and text, one stays."""
+    k_id, k_text = doc_key(id_col, text_col)
+    keyed = docs.withColumns({"_k_null": F.col(id_col).isNull(), "_k_id": k_id, "_k_text": k_text})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([simhash(t, shingle) for t in utf8(b, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_k_null", "_k_id", "_k_text")), pa.array(fps, pa.int64())], ["_k_null", "_k_id", "_k_text", "fp"])
+
+    keys = ["_k_null", "_k_id", "_k_text"]
+    prints = cut(keyed.select(*keys, F.col(text_col).alias("text")).mapInArrow(run, "_k_null boolean, _k_id long, _k_text long, fp long"))
+    stay = cut(_classes(prints.select("fp", F.struct(*keys).alias("ident")), radius).select("least.*").distinct())
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
