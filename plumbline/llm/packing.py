@@ -11,7 +11,12 @@ that runs dry is passed over, and the rest fill the windows in their own proport
 
 from __future__ import annotations
 
+import gc
+import re
+import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +31,79 @@ MAX_QUEUES = 256
 MAX_PARTS = 16_384
 QUANTUM = 256
 _FIX = 16  # bits of the fixed-point credits; exact for queues of up to 2 ** 46 tokens
-_CACHE = 300_000
+WORDS_HELD, MIXED_HELD = 1_200_000, 300_000
+_TRAIL = b".,;:!?|$%&*#)"
+#: ASCII letters, and those of Latin-1 that have one code point, so that no normalisation joins them to others.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _tokenizers: dict = {}
 
 
 class ChunkTokenizer:
-    """Ids of a text, white-space chunk by chunk, with a memory of chunks seen.
+    """Ids of a text, white-space chunk by chunk, with a memory of the words and chunks seen.
 
-    Only for tokenizers that treat ASCII white space as a mere boundary, as the word-end BPE does.  The
-    memory is emptied when it holds ``_CACHE`` chunks, so its size is bounded; it never changes a result.
+    Only for tokenizers that lower-case and treat ASCII white space as a mere boundary, and letters before other
+    ASCII characters as a token of their own, as the word-end BPE does.  Words of plain letters go straight to
+    the model, without its normaliser and word splitter.  The memories are emptied when full, so their
+    size is bounded; they never change a result.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.seen: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.seen) + len(chunks) > _CACHE:
-            self.seen.clear()
-        found = self.model.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-        self.seen.update(zip(chunks, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        self.mixed: dict[bytes, bytes] = {}
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        seen = self.seen
+        plain, mixed, odd = [], [], []
+        for c in chunks:
+            if c.isalpha() or _LETTERS(c):
+                plain.append(c)
+            elif (w := c.rstrip(_TRAIL)) and (w.isalpha() or _LETTERS(w)):
+                mixed.append((c, w, c[len(w) :]))
+            else:
+                odd.append(c)
+        new = {w for _, w, _ in mixed if w not in seen}.difference(chunks)
+        tails = {t for _, _, t in mixed if t not in seen}.difference(odd)
+        for own, model, lower in ((plain + list(new), self.bare, True), (odd + list(tails), self.whole, False)):
+            texts = b"\n".join(own).decode("utf-8")
+            found = model.encode_batch_fast((texts.lower() if lower else texts).split("\n") if own else [], add_special_tokens=False)
+            seen.update(zip(own, [array("I", e.ids).tobytes() for e in found], strict=True))
+        self.mixed.update((c, seen[w] + seen[t]) for c, w, t in mixed)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.seen}
-        if len(self.seen) + len(new) > _CACHE:
+        held = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the memory is large
+        try:
+            return self._encode(texts)
+        finally:
+            if held:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() for t in texts]
+        flat = list(chain.from_iterable(split))
+        if len(self.seen) > WORDS_HELD:
             self.seen.clear()
-            new = {c for chunks in split for c in chunks}
-        if new:
-            self.learn(list(new))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        if len(self.mixed) > MIXED_HELD:
+            self.mixed.clear()
+        ids = list(map(self.seen.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            mixed, seen = self.mixed, self.seen
+            new = {flat[i] for i in missing}.difference(mixed)
+            if new:
+                self._learn(new)
+            for i in missing:
+                c = flat[i]
+                ids[i] = mixed[c] if c in mixed else seen[c]
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(ids[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _tokenizer(path: str) -> ChunkTokenizer:
@@ -75,7 +118,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, told = _tokenizer(tokenizer), TaskContext.get().partitionId(), {}
-        small = model.model.get_vocab_size() < 1 << 16 and end_id < 1 << 16
+        small = model.whole.get_vocab_size() < 1 << 16 and end_id < 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             texts, queues = utf8(b, "text"), b.column("queue").to_pylist()
@@ -159,8 +202,10 @@ def pack(
     source_col: str = "source",
     max_queues: int = MAX_QUEUES,
     max_parts: int = MAX_PARTS,
+    digests: bool = False,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, source, start, length, ids, doc_tokens, sequence_id, offset``.
+    """One row per piece: ``doc_id, source, start, length, ids, doc_tokens, sequence_id, offset``; with ``digests``
+    a long ``ids_crc32`` in place of ``ids``.
 
     ``targets`` gives token proportions by source; a source without one (or all, by default) gets its own
     share of what is left.  Over ``max_queues`` sources are dealt to that many queues by hash, and the input
@@ -190,6 +235,7 @@ def pack(
     free = sum(n for x, n in totals.items() if x not in wanted) or 1
     schedule = Schedule(list(totals.values()), [wanted[x] if x in wanted else max(rest, 0) * n / free for x, n in totals.items()], window, quantum)
     told = docs.sparkSession.sparkContext.broadcast((schedule, index, bases))
+    name = "ids_crc32" if digests else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule, index, bases = told.value
@@ -199,15 +245,16 @@ def pack(
             start = at + bases[b.column("part").to_numpy(), queue]
             for i, j in batched(map(len, packed), 4_000_000):
                 doc, at_, length, place = schedule.place(queue[i:j], start[i:j], n[i:j])
-                wide = [np.frombuffer(x, "<u2" if 2 * m == len(x) else "<u4").astype("<u4").tobytes() for x, m in zip(packed[i:j], n[i:j].tolist(), strict=True)]
-                pieces = [wide[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), at_.tolist(), length.tolist(), strict=True)]
+                wide = [memoryview(np.frombuffer(x, "<u2" if 2 * m == len(x) else "<u4").astype("<u4")).cast("B") for x, m in zip(packed[i:j], n[i:j].tolist(), strict=True)]
+                pieces = (wide[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), at_.tolist(), length.tolist(), strict=True))
+                own = pa.array(map(zlib.crc32, pieces), pa.int64()) if digests else pa.array(map(bytes, pieces), pa.binary())
                 take = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(take), b.column("source").take(take), pa.array(at_), pa.array(length), pa.array(pieces, pa.binary()), b.column("n").take(take), pa.array(place // window), pa.array(place % window)],
-                    ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                    [b.column("doc_id").take(take), b.column("source").take(take), pa.array(at_), pa.array(length), own, b.column("n").take(take), pa.array(place // window), pa.array(place % window)],
+                    ["doc_id", "source", "start", "length", name, "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(run, f"doc_id long, source string, start long, length long, {name} {'long' if digests else 'binary'}, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
