@@ -77,17 +77,19 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table folded over ``a``."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+    """Length of the longest common subsequence: one row of the table folded over ``a``.  A word changes the row only
+    from the places on where ``b`` has it, so words that ``b`` lacks cost one pass of comparisons."""
+    places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
 
-    def step(row: Column, word: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda new, j: F.array_append(new, F.when(F.get(b, j - 1) == word, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(new, j - 1), F.get(row, j)))),
-        )
+    def raised(row: Column, found: Column) -> Column:
+        at = lambda x, j: F.aggregate(found, x, lambda most, k: F.when(k <= j, F.greatest(most, F.get(row, k - 1) + 1)).otherwise(most))
+        return F.when(F.size(found) == 0, row).otherwise(F.transform(row, at))
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.get(F.aggregate(a, zero, step), F.size(b)))
+    def fold(held: Column) -> Column:
+        step = lambda row, word: let(F.filter(held["places"], lambda k: F.get(held["b"], k - 1) == word), lambda found: raised(row, found))
+        return F.array_max(F.aggregate(held["a"], F.array_repeat(F.lit(0), F.size(held["b"]) + 1), step))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), places.alias("places")), fold)
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:

@@ -20,7 +20,7 @@ def text_quality(df: DataFrame) -> DataFrame:
 
 def numeric_quality(df: DataFrame, worked: bool, tolerance: float | None = None, conservative: bool = False) -> DataFrame:
     """``df(qid, answers, gold)`` -> ``(qid, prediction, accuracy)``; ``worked`` answers end in a final answer, others are numbers."""
-    read = (lambda a: N.final_answer(a, conservative)) if worked else N.to_number
+    read = (lambda a: N.final_answer(a, conservative)) if worked else (lambda a: N.to_number(a))
     rows = df.select("qid", numeric_majority(F.transform("answers", read)).alias("prediction"), "gold")
     right = N.close_enough(F.col("prediction"), F.col("gold"), tolerance if tolerance is not None else 1e-6 if worked else 0.1)
     return rows.select("qid", "prediction", right.alias("accuracy"))

@@ -456,7 +456,21 @@ def summary_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.report(found, "xsum").select(*[r6(x).alias(x) for x in ("average_rouge_1", "average_rouge_2", "average_rouge_l", "average_bleu")], "number_of_questions")
 
 
-@query("lexical_rouge_l")
+_TIDY = "array_to_string(list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> ''), ' ')"
+_PAIRS = f""",
+o2 AS (SELECT qid, {_words(_TIDY.format(x="a"))} AS w, i FROM o),
+w AS (SELECT x.qid, x.i * 1000 + y.i AS k, x.w AS x, y.w AS y FROM o2 x JOIN o2 y ON x.qid = y.qid AND x.i < y.i)""" + _LCS[_LCS.index(",\nt(qid") :]
+
+
+@query(
+    "lexical_rouge_l",
+    with_c(
+        _PAIRS
+        + f",\nsim AS (SELECT qid, k // 1000 AS i, k % 1000 AS j, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE {_f1('lcs', 'x', 'y')} END AS s FROM z)\n"
+        " SELECT qid, i, j, round(s, 6)::DOUBLE AS s FROM sim UNION ALL SELECT qid, j, i, round(s, 6)::DOUBLE FROM sim UNION ALL SELECT qid, i, i, 1.0::DOUBLE FROM o",
+        True,
+    ),
+)
 def lexical_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return cells(set_c(spark, sf), S.lexical_matrix(A), "s")
 
