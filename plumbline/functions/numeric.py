@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import text
+from plumbline.functions.text import let, text
 
 #: What counts as a number, a fraction, a final-answer marker, and a cut-off tail.
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -51,21 +51,23 @@ def first_number(c: Column) -> Column:
 
 
 def last_number(c: Column) -> Column:
-    spans = _spans(_strip(text(c)))
-    return _span_value(F.get(spans, F.size(spans) - 1))
+    return let(_spans(_strip(text(c))), lambda spans: _span_value(F.get(spans, F.size(spans) - 1)))
 
 
 def to_number(c: Column, dollars: bool = False) -> Column:
     """The text as a number; else as a fraction with a denominator other than 0; else its last number; else null."""
-    t = _strip(text(c))
-    bare = F.regexp_replace(t, "[,$]" if dollars else ",", "")
-    top, bottom = (F.regexp_extract(t, FRACTION, i).try_cast("double") for i in (1, 2))
-    return F.coalesce(_plain(_strip(bare)), F.when(bottom != 0, top / bottom), last_number(t))
+
+    def of(t: Column) -> Column:
+        bare = _strip(F.regexp_replace(t, "[,$]" if dollars else ",", ""))
+        top, bottom = (F.regexp_extract(t, FRACTION, i).try_cast("double") for i in (1, 2))
+        fraction = F.when(t.contains("/"), let(bottom, lambda b: F.when(b != 0, top / b)))
+        return F.coalesce(let(bare, _plain), fraction, last_number(t))
+
+    return let(_strip(text(c)), of)
 
 
 def _last(c: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    return F.get(found, F.size(found) - 1)
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda found: F.get(found, F.size(found) - 1))
 
 
 def looks_truncated(c: Column) -> Column:
@@ -80,13 +82,15 @@ def looks_truncated(c: Column) -> Column:
 def final_answer(c: Column, conservative: bool = False) -> Column:
     """The final number of a worked answer: after ``####``, in the last ``<<>>``, in the last box, after a closing
     phrase (its first number), else the text's own number; with ``conservative`` null for texts that seem cut off."""
-    s = text(c)
-    marked = F.regexp_extract(s, HASHES, 1)
-    tries = [F.when(marked != "", to_number(marked, True))]
-    tries += [F.when(_last(s, p).isNotNull(), to_number(_last(s, p), True)) for p in (ANGLES, BOXED)]
-    tries += [F.when(_last(s, p).isNotNull(), first_number(_last(s, p))) for p in PHRASES]
-    rest = to_number(s, True)
-    return F.coalesce(*tries, F.when(~looks_truncated(s), rest) if conservative else rest)
+
+    def of(s: Column) -> Column:
+        marked = let(F.regexp_extract(s, HASHES, 1), lambda x: F.when(x != "", to_number(x, True)))
+        spans = [let(_last(s, p), lambda x: F.when(x.isNotNull(), to_number(x, True))) for p in (ANGLES, BOXED)]
+        closing = [let(_last(s, p), lambda x: F.when(x.isNotNull(), first_number(x))) for p in PHRASES]
+        rest = to_number(s, True)
+        return F.coalesce(marked, *spans, *closing, F.when(~looks_truncated(s), rest) if conservative else rest)
+
+    return let(text(c), of)
 
 
 def gold_answer(c: Column) -> Column:

@@ -9,23 +9,22 @@ from plumbline.functions.text import let, normalize_answer
 
 
 def majority(answers: Column, normalize=normalize_answer) -> Column:
-    """The most common normalised answer; on any tie for the top the first answer, as it is; empty text for none."""
+    """The most common normalised answer; on any tie for the top the first one, normalised; empty text for none."""
 
     def counted(own: Column) -> Column:
-        return F.transform(F.array_distinct(own), lambda a: F.struct(F.size(F.filter(own, lambda x: x == a)).alias("n"), a.alias("a")))
+        counts = F.transform(F.array_distinct(own), lambda a: F.struct(F.size(F.filter(own, lambda x: x == a)).alias("n"), a.alias("a")))
+        return F.struct(own.alias("own"), counts.alias("counts"))
 
-    def top(counts: Column) -> Column:
-        most = F.array_max(F.transform(counts, lambda x: x["n"]))
-        return let(most, lambda n: F.filter(counts, lambda x: x["n"] == n))
+    def chosen(c: Column) -> Column:
+        most = F.array_max(F.transform(c["counts"], lambda x: x["n"]))
+        tied = let(most, lambda n: F.filter(c["counts"], lambda x: x["n"] == n))
+        return let(tied, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))["a"]).otherwise(F.get(c["own"], F.lit(0))))
 
-    tied = let(let(F.transform(answers, normalize), counted), top)
-    chosen = let(tied, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))["a"]).otherwise(F.get(answers, F.lit(0))))
-    return F.when(F.size(answers) == 0, F.lit("")).otherwise(chosen)
+    return F.coalesce(let(let(F.transform(answers, normalize), counted), chosen), F.lit(""))
 
 
-def prediction(answers: Column) -> Column:
-    """The majority, or the first answer where that is empty, or empty text."""
-    return let(majority(answers), lambda vote: F.coalesce(F.when(vote != "", vote), F.get(answers, F.lit(0)), F.lit("")))
+#: What a question's answers stand for when its quality is measured.
+prediction = majority
 
 
 def numeric_majority(numbers: Column) -> Column:

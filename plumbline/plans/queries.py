@@ -353,12 +353,12 @@ JOIN (SELECT conv_id, list(text ORDER BY turn) AS refs FROM conversations WHERE
 o AS (SELECT qid, unnest(answers) AS a, unnest(range(len(answers))) AS i, len(answers) AS n, answers FROM s),
 v0 AS (SELECT qid, {na} AS a, count(*) AS c FROM o GROUP BY 1, 2),
 v AS (SELECT qid, CASE WHEN count(*) FILTER (c = top) = 1 THEN max(a) FILTER (c = top) END AS mode FROM (SELECT *, max(c) OVER (PARTITION BY qid) AS top FROM v0) GROUP BY qid),
-q AS (SELECT s.qid, coalesce(nullif(coalesce(mode, answers[1]), ''), answers[1]) AS prediction, answers, refs FROM s JOIN v ON v.qid = s.qid),
+q AS (SELECT s.qid, coalesce(mode, {first}) AS prediction, answers, refs FROM s JOIN v ON v.qid = s.qid),
 b AS (SELECT qid, prediction, unnest(refs) AS ref, unnest(range(len(refs))) AS k FROM q)"""
 
 
 def with_c(more: str, recursive: bool = False) -> str:
-    return _C.format(na=_norm("a"), r="RECURSIVE " if recursive else "") + more
+    return _C.format(na=_norm("a"), first=_norm("answers[1]"), r="RECURSIVE " if recursive else "") + more
 
 
 def predicted(spark: SparkSession, sf: str) -> DataFrame:

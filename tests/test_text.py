@@ -78,9 +78,9 @@ def test_bleu(spark):
 
 def test_votes(spark):
     assert value(spark, votes.majority(arr("Paris", "the paris", "Lyon"))) == "paris"
-    assert value(spark, votes.majority(arr("Rome", "Lyon", "Lyon", "rome!"))) == "Rome"
+    assert value(spark, votes.majority(arr("Rome", "Lyon", "Lyon", "rome!"))) == "rome"
     assert value(spark, votes.majority(arr())) == ""
-    assert value(spark, votes.prediction(arr("The", "the"))) == "The"
+    assert value(spark, votes.prediction(arr("The", "the"))) == ""
     numbers = F.array(*[F.lit(x) for x in (1.0, 2.0, 2.0000001, 1.0, None)])
     assert value(spark, votes.numeric_majority(numbers)) == 1.0
     assert value(spark, votes.numeric_majority(F.array().cast("array<double>"))) is None
