@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, html_text, licenses, lm_score, packing, quality, sharding, simhash, substrings, warc
+from plumbline.llm.license_sql import scan_sql
 
 
 def tokenizer_path() -> str:
@@ -70,5 +71,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_lm_score": op1_lm_score, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_sharding": op7_sharding, "op8_html": op8_html, "op9_substrings": op9_substrings, "op10_quality": op10_quality}
 
 
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: SHA-1 as bare base32: every five hexadecimal digits are four characters of five bits.
+_BASE32 = "array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, k * 5 + 1, 5))::BIGINT >> s) & 31) + 1, 1)), '')), '')"
+
+SQL = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op6_licenses": scan_sql(),
+    "op9_substrings": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM rep)), (SELECT unnest(range(35)) AS k)),
+x AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT x.doc_id, list(x.x ORDER BY x.p) AS ks FROM x LEFT JOIN cov ON cov.doc_id = x.doc_id AND cov.p = x.p WHERE cov.p IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(len(ks), 0))::BIGINT AS n_removed, sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express over whole tables; tests hold the others against brute force."""
+    return dict(SQL)
