@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 #: The ASCII punctuation marks and four quotation marks that normalisation turns into blanks.
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~‘’´]"
-ARTICLES = ("a", "an", "the")
+#: Where blanks are taken out, in order.
+SPACING = [
+    (r"\s+([,.!?;:])", "$1"),
+    (r"\(\s+", "("),
+    (r"\s+\)", ")"),
+    (r"\[\s+", "["),
+    (r"\s+\]", "]"),
+    (r"\{\s+", "{"),
+    (r"\s+\}", "}"),
+    (r"\s+", " "),
+]
 
 
 def text(c: Column) -> Column:
@@ -36,7 +46,7 @@ def normalize_spaces(c: Column) -> Column:
 def remove_extra_spaces(c: Column) -> Column:
     """Blanks before closing and after opening punctuation go, runs of white space become one blank."""
     out = text(c)
-    for pattern, to in ((r"\s+([,.!?;:])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\[\s+", "["), (r"\s+\]", "]"), (r"\{\s+", "{"), (r"\s+\}", "}"), (r"\s+", " ")):
+    for pattern, to in SPACING:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 

@@ -76,9 +76,17 @@ def rank(df: DataFrame, by: tuple[str, ...] = ("uq_column",)) -> DataFrame:
     )
 
 
+def score_columns(df: DataFrame, prefixes: tuple[str, ...] = ("u_", "c_", "U", "C")) -> list[str]:
+    """Score columns by how their names begin, as graph methods name theirs."""
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
 def evaluate(scores: DataFrame, quality: DataFrame, columns: list[str], invert: bool = False, continuous: bool = False) -> DataFrame:
-    """Long report ``(uq_column, metric, value)``: matched questions, AUARC, and PRR for continuous quality or AUROC else."""
+    """Long report ``(uq_column, metric, value)``: matched questions, AUARC, and PRR for continuous quality or AUROC else.
+    A column that no question with quality has a score in counts 0 matches, and its measures are null."""
     ranked = rank(unpivot(scores, columns, invert).join(quality.select("qid", "quality"), "qid"))
+    asked = scores.sparkSession.createDataFrame([(c,) for c in columns], "uq_column string")
+    ranked = asked.join(ranked, "uq_column", "left").fillna({"matched": 0})
     main = "prr" if continuous else "auroc"
     cell = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
     return ranked.select("uq_column", F.explode(F.array(cell("matched"), cell(main), cell("auarc"))).alias("x")).select("uq_column", "x.*")

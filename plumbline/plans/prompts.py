@@ -25,6 +25,23 @@ SYSTEM = {
 }
 USER = {"coqa": ("story: ", "\n question: "), "squad": ("Context: ", "\nQuestion: ")}
 
+#: Fixed value: how a model is asked whether one answer entails another.
+ENTAILMENT = (
+    'We are evaluating answers to the question "{question}"\nHere are two possible answers:\nPossible Answer 1: {text1}\nPossible Answer 2: {text2}\n'
+    "Does Possible Answer 1 semantically entail Possible Answer 2? Respond with ONLY entailment, contradiction, or neutral."
+)
+
+
+def entailment_messages(question: Column, text1: Column, text2: Column) -> Column:
+    """One user message; its reply is read by ``functions.text.entailment_label``."""
+    parts: list[Column] = []
+    rest = ENTAILMENT
+    for name, value in (("{question}", question), ("{text1}", text1), ("{text2}", text2)):
+        before, _, rest = rest.partition(name)
+        parts += [F.lit(before), F.coalesce(value, F.lit(""))]
+    out = F.concat(*parts, F.lit(rest))
+    return F.array(F.struct(F.lit("user").alias("role"), out.alias("content")))
+
 
 def prompt(dataset: str, question: Column, context: Column | None = None, max_input_tokens: int = 131_000, subset: str = "cs-en") -> Column:
     system = SYSTEM[dataset].format(source=subset.split("-")[0], target=subset.split("-")[-1])

@@ -9,17 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import entailment_label
 from plumbline.operators.pairs import missing_pairs
+from plumbline.sources.answers import append_cache, read_cache
 
 Labeller = Callable[[list[str], list[str], list[str]], list[tuple[int, float]]]
 Generator = Callable[[list[list[dict]], int], list[list[str]]]
 
 
-def label_missing(sets: DataFrame, cache: DataFrame, labeller: Labeller, batch: int = 64) -> DataFrame:
+def label_missing(sets: DataFrame, cache: DataFrame, labeller: Labeller, batch: int = 64, where: Column | None = None) -> DataFrame:
     """New cache rows: each distinct pair without a label is asked once, as ``labeller(questions, texts1, texts2)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +30,27 @@ def label_missing(sets: DataFrame, cache: DataFrame, labeller: Labeller, batch:
                 found = labeller(*(own.column(c).to_pylist() for c in ("question", "text1", "text2")))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("question", "text1", "text2")), pa.array([int(x) for x, _ in found], pa.int8()), pa.array([float(y) for _, y in found])], ["question", "text1", "text2", "label", "confidence"])
 
-    return missing_pairs(sets, cache).mapInArrow(run, "question string, text1 string, text2 string, label tinyint, confidence double")
+    asked = missing_pairs(sets, cache)
+    return (asked if where is None else asked.where(where)).mapInArrow(run, "question string, text1 string, text2 string, label tinyint, confidence double")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def cache_for(sets: DataFrame, path: str, labeller: Labeller | None = None, steps: int = 1) -> DataFrame:
+    """The label cache at ``path``.  One that exists is used as it is, so that a pair it lacks is an error; one that does
+    not is built by asking for every pair, in ``steps`` portions, each saved before the next is asked for."""
+    spark = sets.sparkSession
+    if not _exists(spark, path):
+        if labeller is None:
+            raise FileNotFoundError(path)
+        none = spark.createDataFrame([], "question string, text1 string, text2 string, label tinyint, confidence double")
+        for k in range(steps):
+            rows = label_missing(sets, none, labeller, where=F.pmod(F.xxhash64("question", "text1", "text2"), F.lit(steps)) == k)
+            append_cache(rows, path)
+    return read_cache(spark, path)
 
 
 def labels_from_replies(replies: DataFrame) -> DataFrame:

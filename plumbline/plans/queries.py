@@ -338,8 +338,8 @@ def normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SPACES = "text"
-for _p, _t in ((r"\s+([,.!?;:])", r"\1"), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\[\s+", "["), (r"\s+\]", "]"), (r"\{\s+", "{"), (r"\s+\}", "}"), (r"\s+", " ")):
-    _SPACES = f"regexp_replace({_SPACES}, '{_p}', '{_t}', 'g')"
+for _p, _t in T.SPACING:
+    _SPACES = f"regexp_replace({_SPACES}, '{_p}', '{_t.replace('$', chr(92))}', 'g')"
 
 
 @query("remove_extra_spaces", f"SELECT conv_id, turn, trim({_SPACES}) AS tidy FROM (SELECT conv_id, turn, replace(text, ',', ' ( , ) ') AS text FROM conversations)")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from plumbline.operators import reports
+from plumbline.operators import ranking, reports
 from plumbline.plans import evaluate, prompts, providers, score
 from plumbline.sources import answers, gold, paths, subsets
 from plumbline.streaming.scoring import score_stream
@@ -145,6 +145,9 @@ def test_ranking_of_scores(spark):
     out = evaluate.run(g, a, "squad", s, ["e"])
     got = {r["metric"]: r["value"] for r in out["ranking"].collect()}
     assert got["matched"] == 6 and got["auroc"] == 0.0
+    none = {r["metric"]: r["value"] for r in evaluate.rank_scores(out["quality"], s.limit(0), "squad", ["e"]).collect()}
+    assert none == {"matched": 0, "auroc": None, "auarc": None}
+    assert ranking.score_columns(spark.createDataFrame([(1, 2, 3)], "qid int, u_deg int, c_deg int")) == ["u_deg", "c_deg"]
     with pytest.raises(ValueError):
         evaluate.run(g, a, "squad", task="x")
 
@@ -177,3 +180,17 @@ def test_providers_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(out).first()["discrete_semantic_uncertainty"] == pytest.approx(0.636514, abs=1e-6)
     assert score.score(sets, new, "discrete_gwc").count() == 1
+
+
+def test_cache_policy(spark, tmp_path):
+    sets = spark.createDataFrame([("1", "q", ["a", "b", "c"])], "qid string, question string, answers array<string>")
+    path = str(tmp_path / "cache")
+    with pytest.raises(FileNotFoundError):
+        providers.cache_for(sets, path)
+    built = providers.cache_for(sets, path, lambda q, a, b: [(2 if x < y else 0, 0.7) for x, y in zip(a, b, strict=True)], steps=2)
+    assert built.count() == 6
+    more = spark.createDataFrame([("1", "q", ["a", "z"])], sets.schema)
+    with pytest.raises(Exception, match="no label for"):
+        score.score(more, providers.cache_for(more, path, lambda q, a, b: 1 / 0), "discrete_luq_pair").collect()
+    m = sets.select(prompts.entailment_messages(F.col("question"), F.lit("x"), F.lit("y")).alias("m")).first()["m"]
+    assert 'question "q"' in m[0]["content"] and "Answer 2: y" in m[0]["content"]
