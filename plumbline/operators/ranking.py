@@ -41,39 +41,57 @@ def unpivot(df: DataFrame, columns: list[str], invert: bool = False) -> DataFram
     return df.select("qid", F.explode(F.array(*values)).alias("v")).select("qid", "v.*")
 
 
+SPLITS = 63
+
+
+def _ranged(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds ``b``, the range of uncertainties that a row falls in; equal ones share a range."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx("uq", [i / (SPLITS + 1) for i in range(1, SPLITS + 1)], 10_000).alias("cuts"))
+    return df.join(cuts, list(by)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("uq")))).drop("cuts")
+
+
+def _before(rows: DataFrame, by: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """Totals of all ranges before each range: at most ``SPLITS + 1`` rows a group."""
+    order = Window.partitionBy(*by).orderBy("b")
+    totals = rows.groupBy(*by, "b").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    return totals.select(*by, "b", *[(F.sum(k).over(order) - F.col(k)).alias(f"{k}_before") for k in sums])
+
+
+def _auroc(ranged: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Pairs that a good row wins, from counts of each distinct uncertainty."""
+    good = (F.col("quality").cast("int") == 1).cast("long")
+    ties = ranged.groupBy(*by, "b", "uq").agg(F.sum(good).alias("p"), F.sum(1 - good).alias("q"))
+    local = F.sum("q").over(Window.partitionBy(*by, "b").orderBy("uq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ties.withColumn("upto", local).join(_before(ties, by, {"q": F.col("q")}), [*by, "b"])
+    p, q = F.sum("p"), F.sum("q")
+    lost = F.sum(F.col("p") * (F.col("q_before") + F.col("upto") - F.col("q") / 2))  # to bad rows of less uncertainty, ties at half
+    return rows.groupBy(*by).agg(F.when((p > 0) & (q > 0), 1 - lost / (p * q)).alias("auroc"))
+
+
 def rank(df: DataFrame, by: tuple[str, ...] = ("uq_column",)) -> DataFrame:
     """``by, matched, auroc, auarc, prr``: rows without a score are left out.
 
     ``auroc`` compares the negated uncertainty with quality 1 (as integers), ties at half, null for one class.
     ``auarc`` is the trapezoid area under the running mean of quality over coverage 0 to 1, null for one row.
     ``prr`` is the mean of the running means of min-max normalised quality (a constant one is 0.5).
+
+    Running sums take two levels: inside ranges of uncertainty, which are tasks of their own, and over the ranges'
+    totals; so that one score column of any length is not sorted by one task.
     """
-    df = df.where(F.col("uq").isNotNull() & ~F.isnan("uq") & F.col("quality").isNotNull())
-    whole = Window.partitionBy(*by)
-    order = whole.orderBy("uq", "qid")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    low, high = F.min("quality").over(whole), F.max("quality").over(whole)
-    scaled = F.when(high > low, (F.col("quality") - low) / (high - low)).otherwise(0.5)
-    positive = (F.col("quality").cast("int") == 1).cast("long")
-    rows = df.select(
-        *by,
-        positive.alias("p"),
-        (F.rank().over(whole.orderBy(F.desc("uq"))) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "uq")) - 1) / 2).alias("r"),
-        F.row_number().over(order).alias("k"),
-        F.count(F.lit(1)).over(whole).alias("n"),
-        F.avg("quality").over(running).alias("m"),
-        scaled.alias("s"),
-        "uq",
-        "qid",
-    )
-    rows = rows.withColumn("ms", F.avg("s").over(running))
-    p, n = F.sum("p"), F.count(F.lit(1))
-    return rows.groupBy(*by).agg(
+    df = df.where(F.col("uq").isNotNull() & ~F.isnan("uq") & F.col("quality").isNotNull()).select(*by, "qid", "uq", F.col("quality").cast("double").alias("quality"))
+    ranged = _ranged(df, by)
+    order = Window.partitionBy(*by, "b").orderBy("uq", "qid")
+    rows = ranged.select(*by, "b", "quality", F.row_number().over(order).alias("k"), F.sum("quality").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    rows = rows.join(_before(ranged, by, {"n": F.lit(1), "s": F.col("quality")}), [*by, "b"])
+    place = F.col("n_before") + F.col("k")
+    rows = rows.select(*by, "quality", place.alias("k"), ((F.col("s_before") + F.col("s")) / place).alias("m"))
+    n, low, high, mean = F.count(F.lit(1)), F.min("quality"), F.max("quality"), F.avg("m")
+    curves = rows.groupBy(*by).agg(
         n.alias("matched"),
-        F.when((p > 0) & (p < n), (F.sum(F.col("p") * F.col("r")) - p * (p + 1) / 2) / (p * (n - p))).alias("auroc"),
-        F.when(n > 1, F.sum(F.when(F.col("k").isin(1) | (F.col("k") == F.col("n")), F.col("m") / 2).otherwise(F.col("m"))) / (F.max("n") - 1)).alias("auarc"),
-        F.avg("ms").alias("prr"),
+        F.when(n > 1, (F.sum("m") - (F.min_by("m", "k") + F.max_by("m", "k")) / 2) / (n - 1)).alias("auarc"),
+        F.when(high > low, (mean - low) / (high - low)).otherwise(0.5).alias("prr"),
     )
+    return curves.join(_auroc(ranged, by), list(by)).select(*by, "matched", "auroc", "auarc", "prr")
 
 
 def score_columns(df: DataFrame, prefixes: tuple[str, ...] = ("u_", "c_", "U", "C")) -> list[str]:
