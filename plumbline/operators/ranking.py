@@ -94,6 +94,19 @@ def rank(df: DataFrame, by: tuple[str, ...] = ("uq_column",)) -> DataFrame:
     return curves.join(_auroc(ranged, by), list(by)).select(*by, "matched", "auroc", "auarc", "prr")
 
 
+def exact_percentile(df: DataFrame, column: str, share: float, by: tuple[str, ...], name: str) -> DataFrame:
+    """``by, name``: the linearly interpolated percentile, from counts of distinct values and two-level running counts."""
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("uq"))
+    counts = _ranged(rows, by).groupBy(*by, "b", "uq").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "b").orderBy("uq").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).join(_before(counts, by, {"n": F.col("n")}), [*by, "b"]).withColumn("upto", F.col("n_before") + F.col("upto"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    h = F.lit(share) * (F.col("total") - 1)
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("uq")))
+    found = placed.join(total, list(by)).groupBy(*by, "total").agg(at(F.floor(h)).alias("low"), at(F.ceil(h)).alias("high"))
+    return found.select(*by, (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias(name))
+
+
 def score_columns(df: DataFrame, prefixes: tuple[str, ...] = ("u_", "c_", "U", "C")) -> list[str]:
     """Score columns by how their names begin, as graph methods name theirs."""
     return [c for c in df.columns if c.startswith(prefixes)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranking import exact_percentile
+
 
 def confident_failures(df: DataFrame, continuous: bool = False, uq_share: float = 0.2, bad_share: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
     """``df(by, qid, uq, quality)`` -> one row a group: ``total, bad, uq_threshold, quality_threshold, selected, ratio, qids``.
@@ -14,8 +16,11 @@ def confident_failures(df: DataFrame, continuous: bool = False, uq_share: float
     joined back by group.
     """
     df = df.withColumn("_one", F.lit(1))
-    cuts = df.groupBy("_one", *by).agg(F.percentile("uq", F.lit(uq_share)).alias("uq_threshold"), F.percentile("quality", F.lit(bad_share)).alias("quality_threshold"), F.count(F.lit(1)).alias("total"))
-    rows = df.join(F.broadcast(cuts) if not by else cuts, ["_one", *by])
+    group = ("_one", *by)
+    cuts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    for column, share, name in (("uq", uq_share, "uq_threshold"), ("quality", bad_share, "quality_threshold")):
+        cuts = cuts.join(exact_percentile(df, column, share, group, name), list(group), "left")
+    rows = df.join(cuts, list(group))
     bad = (F.col("quality") <= F.col("quality_threshold")) if continuous else (F.col("quality") == 0)
     low = bad & (F.col("uq") <= F.col("uq_threshold"))
     n_bad, n_low = F.count(F.when(bad, 1)), F.count(F.when(low, 1))
