@@ -24,7 +24,7 @@ from plumbline.llm.common import batched
 
 OPEN, CONTENT, OUT = 0, 1, 2
 #: Pages written for training; a documented bound of what the model is fitted on.
-TRAINING_PAGES = 500
+TRAINING_PAGES = 400
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -153,7 +153,7 @@ class Dom:
 class Extractor:
     """The fitted model.  Trained here on pages that ``sample_pages`` writes, with the label of every node known."""
 
-    def __init__(self, pages: list[str], rounds: int = 30):
+    def __init__(self, pages: list[str], rounds: int = 20):
         dom = Dom()
         for p in pages:
             dom.add(p)
