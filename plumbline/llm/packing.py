@@ -31,7 +31,7 @@ MAX_QUEUES = 256
 MAX_PARTS = 16_384
 QUANTUM = 256
 _FIX = 16  # bits of the fixed-point credits; exact for queues of up to 2 ** 46 tokens
-WORDS_HELD, MIXED_HELD = 1_200_000, 300_000
+WORDS_HELD, MIXED_HELD = 1_000_000, 200_000
 _TRAIL = b".,;:!?|$%&*#)"
 #: ASCII letters, and those of Latin-1 that have one code point, so that no normalisation joins them to others.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
