@@ -52,8 +52,12 @@ class ChunkTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        # Plain words are encoded many at a time; the tokens that end a word tell them apart again.
         self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        vocabulary, suffix = self.whole.get_vocab(), getattr(self.whole.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.seen: dict[bytes, bytes] = {}
         self.mixed: dict[bytes, bytes] = {}
 
@@ -69,12 +73,25 @@ class ChunkTokenizer:
                 odd.append(c)
         new = {w for _, w, _ in mixed if w not in seen}.difference(chunks)
         tails = {t for _, _, t in mixed if t not in seen}.difference(odd)
-        for own, model, lower in ((plain + list(new), self.bare, True), (odd + list(tails), self.whole, False)):
-            texts = b"\n".join(own).decode("utf-8")
-            found = model.encode_batch_fast((texts.lower() if lower else texts).split("\n") if own else [], add_special_tokens=False)
-            seen.update(zip(own, [array("I", e.ids).tobytes() for e in found], strict=True))
+        words, marks = plain + list(new), odd + list(tails)
+        for i in range(0, len(words), 1000):
+            seen.update(zip(words[i : i + 1000], self._plain(words[i : i + 1000]), strict=True))
+        seen.update(zip(marks, self._each(marks), strict=True))
         self.mixed.update((c, seen[w] + seen[t]) for c, w, t in mixed)
 
+    def _each(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(words).decode("utf-8").lower()
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a vocabulary that doesn't mark words' ends
+            return self._each(words)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         held = gc.isenabled()
