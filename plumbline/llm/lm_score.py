@@ -1,28 +1,33 @@
 """Documents scored by masked pseudo-likelihood: a network that sees a window on both sides predicts every word.
 
-Three passes over the corpus, none sampled by document.  First every partition counts its words in hashed
-buckets; the sums make the vocabulary.  Then the network is trained on masked positions (one in ``mask_every``
+Passes over the corpus, none sampled by document.  First all distinct words are counted by a 64-bit hash, in a
+table that stays in the cluster.  Then the network is trained on masked positions (one in ``mask_every``
 of every document, others in each round): each partition trains from the common parameters, and the parameters
 are averaged, weighted by positions, block by block in the cluster, so that what is gathered grows with the
 input while the driver holds one model.  Last, each word's log-probability given its neighbours is summed.
 
-The vocabulary is the most frequent buckets; all others share a few tokens by hash.  The output is factored into
-a class and a word in it, which keeps a prediction to some hundred products.
+The vocabulary is every distinct word.  The network tells the ``FREQUENT`` most frequent apart, and deals the others to
+``RARE`` tail tokens by hash; a tail word's probability is its token's, given the neighbours, times its own share in the
+token by exact counts.  Each tail token keeps a share for words never seen.  Counts and words meet slice by slice of
+the hash, so no task holds the vocabulary.  The output is factored into a class and a word in it, which keeps a
+prediction to some hundred products.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batched, utf8
+from plumbline.llm.common import batched, cut, utf8
 
 BUCKETS = 1 << 18
 FREQUENT, RARE = 1536, 512
@@ -33,13 +38,21 @@ SIDE, DIM = 2, 16
 PAD = VOCABULARY
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _BLOCK = 1 << 14
+#: Slices of the word hash in which counts and words meet: so many at least, and about so many distinct words in each.
+_SLICES, _SLICE_WORDS = 256, 1 << 20
 
 
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, and the number of words of each text."""
+def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words, their CRC-32, and the number of words of each text."""
     split = [t.lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
-    return np.fromiter(map(zlib.crc32, chain.from_iterable(split)), np.uint32, int(n.sum())) & np.uint32(BUCKETS - 1), n
+    words = list(chain.from_iterable(split))
+    return words, np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), n
+
+
+def _keys(words: list[bytes]) -> np.ndarray:
+    """What tells words apart."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +66,9 @@ def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """h = tanh(sum of a vector for each neighbour's word and side); class and word-in-class by softmax of h."""
 
-    def __init__(self, id_of: np.ndarray, counts: np.ndarray, seed: int = 1):
+    def __init__(self, id_of: np.ndarray, counts: np.ndarray, owner: np.ndarray, tail: np.ndarray, words: DataFrame, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.id_of = id_of
+        self.id_of, self.owner, self.tail, self.words = id_of, owner, tail, words
         self.side = [(rng.standard_normal((VOCABULARY + 1, DIM)) * 0.1).astype(np.float32) for _ in _OFFSETS]
         self.base = np.zeros(DIM, np.float32)
         self.to_class = (rng.standard_normal((DIM, CLASSES)) * 0.1).astype(np.float32)
@@ -64,6 +77,9 @@ class Network:
         self.class_bias = np.log(share.sum(1)).astype(np.float32)
         self.word_bias = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}  # a table is not sent to tasks
+
     def parts(self) -> list[np.ndarray]:
         return [*self.side, self.base, self.to_class, self.to_word, self.class_bias, self.word_bias]
 
@@ -76,8 +92,11 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def ids(self, buckets: np.ndarray) -> np.ndarray:
-        return self.id_of[buckets]
+    def ids(self, crc: np.ndarray) -> np.ndarray:
+        """Tokens of words.  One that merely shares the bucket of a frequent word is a tail word."""
+        bucket = crc & np.uint32(BUCKETS - 1)
+        ids = self.id_of[bucket]
+        return np.where((ids < FREQUENT) & (self.owner[bucket] != crc), FREQUENT + (bucket % RARE).astype(np.int64), ids)
 
     def hidden(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = np.tile(self.base, (len(at), 1))
@@ -180,29 +199,44 @@ def _blocks(values: np.ndarray, weight: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([part] * len(packed), pa.int32()), pa.array([float(weight)] * len(packed)), pa.array(packed, pa.binary())], ["block", "part", "weight", "sums"])
 
 
+_MEETING = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("number", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 _SUMS = "block int, part int, weight double, sums binary"
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Token id of each bucket, and how often each token occurs in the corpus."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """What a network knows of the words: token id of each bucket; how often each token occurs in the corpus; the CRC-32 of
+    the frequent word in each bucket; of each tail token the logarithms of what its words' counts are divided by, and
+    of the share of one unseen word; and the table ``(word, crc, n)`` of all distinct words, which stays in the cluster.
+
+    A tail token of n places, d words and s words that occur once gives a word of count c the share c / (n + s + 1), and
+    the rest in equal parts to 2 (d + 1) unseen words, so an unseen word is never likelier than half a word seen once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             texts = utf8(b, "text")
             for i, j in batched(map(len, texts), 4_000_000):
-                counts += np.bincount(_hashes(texts[i:j])[0], minlength=BUCKETS)
-        if counts.any():
-            yield _blocks(counts, counts.sum())
-
-    sums = _summed(docs.mapInArrow(run, _SUMS))
-    counts = np.zeros(BUCKETS)
-    for block, (values, _) in sums.items():
-        counts[block * _BLOCK : (block + 1) * _BLOCK] = values
-    id_of = FREQUENT + np.arange(BUCKETS) % RARE
-    ranked = np.argsort(-counts, kind="stable")[:FREQUENT]
-    id_of[ranked] = np.arange(FREQUENT)
-    return id_of.astype(np.int64), np.bincount(id_of, counts, VOCABULARY)
+                count = Counter(chain.from_iterable(t.lower().split() for t in texts[i:j]))
+                if count:
+                    own = list(count)
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(own)), pa.array(map(zlib.crc32, own), pa.int64()), pa.array(count.values(), pa.int64())], ["word", "crc", "n"])
+
+    words = cut(docs.mapInArrow(run, "word long, crc long, n long").groupBy("word", "crc").agg(F.sum("n").alias("n")))
+    rare = np.zeros((RARE, 3))
+    for r in words.groupBy((F.col("crc") % RARE).alias("t")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("s")).collect():
+        rare[r["t"]] = r["n"], r["d"], r["s"]
+    id_of, owner, counts = FREQUENT + np.arange(BUCKETS) % RARE, np.zeros(BUCKETS, np.uint32), np.zeros(VOCABULARY)
+    known = 0
+    for r in words.orderBy(F.desc("n"), "word").limit(2 * FREQUENT).collect():
+        bucket = r["crc"] & (BUCKETS - 1)
+        if known < FREQUENT and id_of[bucket] >= FREQUENT:  # of two frequent words in a bucket the lesser is a tail word
+            id_of[bucket], owner[bucket], counts[known] = known, r["crc"], r["n"]
+            rare[r["crc"] % RARE] -= r["n"], 1, r["n"] == 1
+            known += 1
+    counts[FREQUENT:] = rare[:, 0]
+    total = np.log(rare[:, 0] + rare[:, 2] + 1)
+    tail = np.array([total, np.log(rare[:, 2] + 1) - total - np.log(2 * (rare[:, 1] + 1))])
+    return id_of.astype(np.int64), counts, owner, tail, words
 
 
 def train(docs: DataFrame, rounds: int = 2, mask_every: int = 16) -> Network:
@@ -220,8 +254,8 @@ def train(docs: DataFrame, rounds: int = 2, mask_every: int = 16) -> Network:
             for b in batches:
                 texts = utf8(b, "text")
                 for i, j in batched(map(len, texts), 4_000_000):
-                    buckets, n = _hashes(texts[i:j])
-                    framed, at = _framed(own.ids(buckets), n)
+                    _, crc, n = _split(texts[i:j])
+                    framed, at = _framed(own.ids(crc), n)
                     # Which places are masked depends on the text, so that short ones are met as often as long ones.
                     shift = np.repeat(np.fromiter(map(zlib.crc32, texts[i:j]), np.int64, j - i), n)
                     masked = at[(np.arange(len(at)) + shift + turn * (mask_every // max(rounds, 1))) % mask_every == 0]
@@ -244,17 +278,97 @@ def score(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", t
     columns are not read; an empty table gives an empty one.  A single text of any length is read whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = docs.sparkSession.sparkContext.broadcast(net or train(rows.select("text")))
+    net = net or train(rows.select("text"))
+    told = docs.sparkSession.sparkContext.broadcast(net)
+    slices = _SLICES
+    known = net.words.count()
+    while slices * _SLICE_WORDS < known:
+        slices *= 2
+
+    def by_slice(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        own = keys & (slices - 1)
+        order = np.argsort(own.astype(np.uint16) if slices <= 1 << 16 else own, kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=slices)).tolist()
+        return ((k, order[i:j]) for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)) if i < j)
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), _MEETING, strict=True)], schema=_MEETING)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a seen tail word's logarithm is above an unseen one's."""
+        total, unseen = told.value.tail
+        for b in batches:
+            keys, crc, n = (b.column(c).to_numpy() for c in ("word", "crc", "n"))
+            gain = np.log(n) - (total + unseen)[crc % RARE]
+            found = [(k, 0, 0, keys[at].tobytes(), gain[at].tobytes(), b"") for k, at in by_slice(keys)]
+            if found:
+                yield packed(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, number = told.value, TaskContext.get().partitionId() << 32
         for b in batches:
             texts = utf8(b, "text")
             for i, j in batched(map(len, texts), 2_000_000):
-                buckets, n = _hashes(texts[i:j])
-                framed, at = _framed(told.value.ids(buckets), n)
-                each = told.value.log_probabilities(framed, at)
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(sums), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+                words, crc, n = _split(texts[i:j])
+                ids = net.ids(crc)
+                framed, at = _framed(ids, n)
+                each = net.log_probabilities(framed, at)
+                doc, rare = np.repeat(np.arange(len(n), dtype=np.int32), n), ids >= FREQUENT
+                each[rare] += net.tail[1, ids[rare] - FREQUENT]
+                sums, doc, keys = np.bincount(doc, each, len(n)), doc[rare], _keys(list(compress(words, rare.tolist())))
+                own = b.column("doc_id").slice(i, j - i)
+                found = [(k, 1, number, keys[at].tobytes(), doc[at].tobytes(), b"") for k, at in by_slice(keys)]
+                found.append((number * 40503 % slices, 2, number, own.fill_null(0).to_numpy().tobytes(), own.is_null().to_numpy(zero_copy_only=False).tobytes(), n.tobytes() + sums.tobytes()))
+                number += 1
+                yield packed(found)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of documents with the gains of their slice, summed by document; documents pass."""
+        now, held, keys, gain = None, [], None, None
+        for b in batches:
+            found = []
+            for k, kind, number, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    now, held, keys = k, [], None
+                if kind == 0:
+                    held.append((np.frombuffer(x, np.int64), np.frombuffer(y)))
+                    continue
+                if kind == 1:
+                    if keys is None:
+                        keys, gain = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0)), *held, strict=True))
+                        order = np.argsort(keys)
+                        keys, gain, held = keys[order], gain[order], []
+                    own, doc = np.frombuffer(x, np.int64), np.frombuffer(y, np.int32)
+                    at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                    got = np.where(keys[at] == own, gain[at], 0.0) if len(keys) else np.zeros(len(own))
+                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    x, y = doc[first].tobytes(), np.add.reduceat(got, first).tobytes()
+                found.append((k, kind, number, x, y, z))
+            if found:
+                yield packed(found)
+
+    def out(ids: bytes, null: bytes, data: bytes, more: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        own = len(null)
+        n, sums = np.frombuffer(data, np.int64, own), np.frombuffer(data, np.float64, own, 8 * own).copy()
+        for doc, gain in more:
+            sums[np.frombuffer(doc, np.int32)] += np.frombuffer(gain)
+        mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(n), pa.array(sums), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, more = None, []
+        for b in batches:
+            for _, kind, _, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 2:
+                    if now:
+                        yield out(*now, more)
+                    now, more = (x, y, z), []
+                else:
+                    more.append((x, y))
+        if now:
+            yield out(*now, more)
+
+    kinds = "slice int, kind int, number long, x binary, y binary, z binary"
+    both = net.words.mapInArrow(gains, kinds).union(rows.mapInArrow(run, kinds))
+    met = both.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(meet, kinds)
+    return met.repartition("number").sortWithinPartitions("number", F.desc("kind"), "slice").mapInArrow(total, "doc_id long, n_words long, log_likelihood double, per_word double")
