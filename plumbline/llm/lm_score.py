@@ -1,8 +1,8 @@
 """Documents scored by masked pseudo-likelihood: a network that sees a window on both sides predicts every word.
 
 Passes over the corpus, none sampled by document.  First all distinct words are counted by a 64-bit hash, in a
-table that stays in the cluster.  Then the network is trained on masked positions (one in ``mask_every``
-of every document, others in each round): each partition trains from the common parameters, and the parameters
+table that stays in the cluster.  Then the network is trained on masked positions (by default
+the rounds together mask every word once): each partition trains from the common parameters, and the parameters
 are averaged, weighted by positions, block by block in the cluster, so that what is gathered grows with the
 input while the driver holds one model.  Last, each word's log-probability given its neighbours is summed.
 
@@ -146,21 +146,30 @@ class Network:
             grads[0], grads[2] = h.T @ p, p.sum(0)
             dh = p @ self.to_class.T
             grads[1], grads[3] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-            for c in np.unique(cls).tolist():
-                r = np.flatnonzero(cls == c)
-                q, total = self._softmax(h[r] @ self.to_word[c] + self.word_bias[c])
+            order = np.argsort(cls.astype(np.uint8), kind="stable")
+            ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+            sorted_h, sorted_word = h[order], word[order]
+            back = np.zeros_like(sorted_h)
+            for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
+                if lo == hi:
+                    continue
+                q, total = self._softmax(sorted_h[lo:hi] @ self.to_word[c] + self.word_bias[c])
                 q /= total[:, None]
-                q[np.arange(len(r)), word[r]] -= 1
-                grads[1][c], grads[3][c] = h[r].T @ q, q.sum(0)
-                dh[r] += q @ self.to_word[c].T
+                q[rows[: hi - lo], sorted_word[lo:hi]] -= 1
+                grads[1][c], grads[3][c] = sorted_h[lo:hi].T @ q, q.sum(0)
+                np.matmul(q, self.to_word[c].T, out=back[lo:hi])
+            dh[order] += back
             dh *= 1 - h * h
             k = len(self.side)
             for j, (table, o) in enumerate(zip(self.side, _OFFSETS, strict=True)):
-                seen, back = np.unique(framed[own + o], return_inverse=True)
-                g = np.zeros((len(seen), DIM), np.float32)
-                np.add.at(g, back, dh)
-                memory[j][seen] += g * g
-                table[seen] -= rate * g / np.sqrt(memory[j][seen] + 1e-6)
+                near = framed[own + o].astype(np.int16)
+                order = np.argsort(near, kind="stable")
+                near = near[order]
+                first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+                seen, g = near[first], np.add.reduceat(dh[order], first)
+                m = memory[j][seen] + g * g
+                memory[j][seen] = m
+                table[seen] -= rate * g / np.sqrt(m + 1e-6)
             for part, g, m in zip(self.parts()[k:], [dh.sum(0), *grads], memory[k:], strict=True):
                 m += g * g
                 part -= rate * g / np.sqrt(m + 1e-6)
@@ -239,8 +248,18 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return id_of.astype(np.int64), counts, owner, tail, words
 
 
-def train(docs: DataFrame, rounds: int = 2, mask_every: int = 16) -> Network:
-    """Fit the network on ``docs(text)``, all documents in every round."""
+def _masked(texts: list[bytes], n: np.ndarray, every: int, turn: int) -> np.ndarray:
+    """Which words are masked in a turn: one place in ``every`` of each text, another in each turn.  Where it begins depends
+    on the text, so that short ones are met as often as long ones."""
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    shift = np.repeat(np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)), n)
+    return (place + shift + turn) % every == 0
+
+
+def train(docs: DataFrame, rounds: int = 2, mask_every: int | None = None) -> Network:
+    """Fit the network on ``docs(text)``, all documents in every round.  ``mask_every`` is the number of rounds by default, so
+    that the rounds together train on every word once; a larger one leaves words out."""
+    mask_every = mask_every or max(rounds, 1)
     sc = docs.sparkSession.sparkContext
     net = Network(*vocabulary(docs))
     size = len(net.flat())
@@ -256,9 +275,7 @@ def train(docs: DataFrame, rounds: int = 2, mask_every: int = 16) -> Network:
                 for i, j in batched(map(len, texts), 4_000_000):
                     _, crc, n = _split(texts[i:j])
                     framed, at = _framed(own.ids(crc), n)
-                    # Which places are masked depends on the text, so that short ones are met as often as long ones.
-                    shift = np.repeat(np.fromiter(map(zlib.crc32, texts[i:j]), np.int64, j - i), n)
-                    masked = at[(np.arange(len(at)) + shift + turn * (mask_every // max(rounds, 1))) % mask_every == 0]
+                    masked = at[_masked(texts[i:j], n, mask_every, turn * (mask_every // max(rounds, 1)))]
                     own.train(framed, masked, memory)
                     seen += len(masked)
             if seen:

@@ -31,3 +31,17 @@ def test_every_word_has_its_own_probability(spark):
     assert got[strange] < min(got[w] for w in by[tail])
     mass = sum(np.exp(got[w] - base) for w in by[tail]) + 2 * len(own) * np.exp(got[strange] - base)
     assert mass == pytest.approx(1)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_rounds_train_on_every_word(spark, monkeypatch, rounds):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in [1, 2, 3, 15, 16, 17, 40] * 3]
+    words = sum(len(t.split()) for t in texts)
+    data = spark.createDataFrame([(t,) for t in texts], "text string")
+    turns = [lm_score._masked([t.encode() for t in texts], np.array([len(t.split()) for t in texts]), rounds, k) for k in range(rounds)]
+    assert (np.sum(turns, axis=0) == 1).all() and len(turns[0]) == words
+    weights, summed = [], lm_score._summed
+    monkeypatch.setattr(lm_score, "_summed", lambda rows: weights.append(rows.where("block = 0").groupBy().sum("weight").first()[0]) or summed(rows))
+    lm_score.train(data, rounds)
+    assert sum(weights) == words
