@@ -5,7 +5,9 @@ moves on by a random bit, which depends on the step and the word; the words read
 at a small edit distance fall into step again, so their embeddings differ in few places.  A repetition draws a
 walk and samples a few places of it; windows of an item's size whose samples equal the item's are candidates,
 and a semi-global edit distance over the window and its margins decides.  How many repetitions reach the target
-recall is found by embedding randomly edited copies of the items.
+recall is found by embedding randomly edited copies of the items.  Items that would need more than ``MAX_REPEATS`` are
+searched exactly instead: cut into one piece more than the edits allowed, they keep a piece unedited in any match, and
+where one of their pieces occurs the same edit distance decides.
 """
 
 from __future__ import annotations
@@ -83,6 +85,42 @@ class Walks:
         return own, [*out[:-1], key]
 
 
+class Pieces:
+    """The items of one length cut into ``most + 1`` pieces: within ``most`` edits one of them occurs unedited (pigeonhole), at
+    most ``most`` words from its place in the item."""
+
+    def __init__(self, items: np.ndarray, most: int):
+        self.edges = np.linspace(0, items.shape[1], most + 2).astype(np.int64)
+        self.odd = np.random.default_rng(12).integers(1, 1 << 62, int(np.diff(self.edges).max()), dtype=np.int64) * 2 + 1
+        self.tables = {}  # by width: hashes, ascending, with their item and place
+        for width in np.unique(np.diff(self.edges)).tolist():
+            at = self.edges[:-1][np.diff(self.edges) == width]
+            own = np.concatenate([self._hashed(items[:, a : a + width].ravel(), width)[::width] for a in at.tolist()])
+            item, place = np.tile(np.arange(len(items)), len(at)), np.repeat(at, len(items))
+            order = np.argsort(own, kind="stable")
+            self.tables[width] = own[order], item[order], place[order]
+
+    def _hashed(self, words: np.ndarray, width: int) -> np.ndarray:
+        """Of the ``width`` words from each place on."""
+        out = np.zeros(max(len(words) - width + 1, 0), np.int64)
+        for k in range(width):
+            out += (words[k : k + len(out)] + 2) * self.odd[k]
+        return out
+
+    def starts(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, text): where items would begin, by a piece that occurs in a text; that may be before the text."""
+        found = []
+        for width, (keys, item, place) in self.tables.items():
+            own = self._hashed(words, width)
+            own_at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own)
+            lo, hi = np.searchsorted(keys, own[own_at]), np.searchsorted(keys, own[own_at], "right")
+            m = hi - lo
+            k = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            piece = np.repeat(own_at, m)
+            found.append((piece - place[k], item[k], np.searchsorted(ends, piece, "right")))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 class Benchmark:
     """Items by length, their walks, and the hashed samples to meet."""
 
@@ -98,7 +136,11 @@ class Benchmark:
             rng = np.random.default_rng((seed, n))
             words = np.array([x for _, x in own], np.int64)
             most = int((1 - similarity) * n + 1e-9)
-            walks = Walks(n, self._repeats(words, most, recall, samples, max_repeats, rng), samples, rng)
+            repeats = self._repeats(words, most, recall, samples, max_repeats + 1, rng)
+            if repeats > max_repeats and most < n:
+                self.classes.append((n, most, [i for i, _ in own], words, Pieces(words, most), None))
+                continue
+            walks = Walks(n, min(repeats, max_repeats), samples, rng)
             tables = []
             for rep in range(len(walks.places)):
                 _, after = walks.keys(rep, words.ravel(), np.arange(len(own)) * n)
@@ -141,6 +183,9 @@ class Benchmark:
         known = np.zeros(len(words) + 1, np.int32)
         found: dict[tuple[int, int, int], tuple[int, int]] = {}
         for c, (n, most, _, items, walks, tables) in enumerate(self.classes):
+            if tables is None:
+                self._exact(c, words, starts, ends, found)
+                continue
             if len(words) < n:
                 continue
             # Within the allowed edits a window holds at least that many words of the items of this length.
@@ -170,7 +215,29 @@ class Benchmark:
                     place = (int(distance[k]), int(lo[k] + end[k] - starts[doc[w[k]]]))
                     key = (int(doc[w[k]]), c, int(item[k]))
                     found[key] = min(found.get(key, place), place)
-        out: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
+        return self._placed(found, len(texts))
+
+    def _exact(self, c: int, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: dict) -> None:
+        """Items of whose pieces one occurs.  Starts that lie in one stretch of ``most`` words share a window."""
+        n, most, _, items, pieces, _ = self.classes[c]
+        step = max(most, 1)
+        at, item, doc = pieces.starts(words, ends)
+        cells = np.unique(np.stack([doc, item, (at - starts[doc]) // step], 1), axis=0)
+        span = np.arange(-most, n + most + step)
+        some = max(1, 2_000_000 // len(span))
+        for i in range(0, len(cells), some):
+            doc, item, cell = cells[i : i + some].T
+            lo = starts[doc] + cell * step - most
+            place = (lo + most)[:, None] + span
+            inside = (place >= starts[doc][:, None]) & (place < ends[doc][:, None])
+            distance, end = edit_distances(items[item], np.where(inside, words[np.clip(place, 0, len(words) - 1)], 0))
+            for k in np.flatnonzero(distance <= most).tolist():
+                best = (int(distance[k]), int(lo[k] + end[k] - starts[doc[k]]))
+                key = (int(doc[k]), c, int(item[k]))
+                found[key] = min(found.get(key, best), best)
+
+    def _placed(self, found: dict, texts: int) -> list[list[tuple[object, int, int, int]]]:
+        out: list[list[tuple[object, int, int, int]]] = [[] for _ in range(texts)]
         for (d, c, item), (distance, end) in sorted(found.items()):
             n, _, ids, *_ = self.classes[c]
             out[d].append((ids[item], distance, n, end))

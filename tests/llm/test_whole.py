@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from plumbline.llm import lm_score
+from plumbline.llm import decontaminate, lm_score
 
 
 def test_every_word_has_its_own_probability(spark):
@@ -45,3 +45,22 @@ def test_rounds_train_on_every_word(spark, monkeypatch, rounds):
     monkeypatch.setattr(lm_score, "_summed", lambda rows: weights.append(rows.where("block = 0").groupBy().sum("weight").first()[0]) or summed(rows))
     lm_score.train(data, rounds)
     assert sum(weights) == words
+
+
+@pytest.mark.parametrize("n", [500, 1000, 2000])
+def test_long_items_are_found_at_the_limit(n):
+    rng = np.random.default_rng(n)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, n)).encode()) for i in range(6)]
+    bench = decontaminate.Benchmark(items)
+    noise = [b"w%d" % x for x in rng.integers(0, 5000, 80)]
+    texts = []
+    for _, text in items * 3:
+        w = text.split()
+        for _ in range(int(0.2 * n)):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w[at : at + (kind < 2)] = [b"zz%d" % rng.integers(1000)] * (kind != 1)
+        k = int(rng.integers(80))
+        texts.append(b" ".join(noise[:k] + w + noise[k:]))
+    found = bench.matches([b"", *texts, items[0][1], b"w1 w2"])
+    assert all(i in {x[0] for x in own} for (i, _), own in zip(items * 3, found[1:], strict=False))
+    assert found[-2] == [(0, 0, n, n)] and not found[0] and not found[-1]
