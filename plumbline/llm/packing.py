@@ -225,9 +225,10 @@ def pack(
     a long ``ids_crc32`` in place of ``ids``.
 
     ``targets`` gives token proportions by source; a source without one (or all, by default) gets its own
-    share of what is left.  Over ``max_queues`` sources are dealt to that many queues by hash, and the input
-    is read by at most ``max_parts`` tasks; so the queue positions at which partitions begin, which every
-    task is sent, are at most ``max_queues * max_parts`` integers.  A null source is a queue of its own.
+    share of what is left.  With over ``max_queues`` sources every targeted source keeps a queue of its own, and the rest
+    are dealt by hash to as many queues as remain (one at least), whose windows hold proportions by queue, not by
+    source.  The input is read by at most ``max_parts`` tasks; so the queue positions at which partitions begin, which
+    every task is sent, are at most ``max(max_queues, targets + 1) * max_parts`` integers.  A null source is a queue of its own.
     A null or empty text is the end token alone.  Repeated rows are packed as often as they occur, extra
     columns are not read, and an empty table gives no pieces.  ``ids`` is the piece as little-endian unsigned
     32-bit integers.  All sequences but the last are full; the last is padded to the window unless its
@@ -235,7 +236,10 @@ def pack(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     many = docs.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    if many:
+        hashed = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues - len(targets or {})))).cast("string"))
+        queue = F.when(F.col("source").isin(list(targets)), queue).otherwise(hashed) if targets else hashed
     rows = cut(tokenize(docs.coalesce(max_parts).select("doc_id", "source", queue.alias("queue"), "text"), tokenizer, end_id))
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("n")).collect()  # at most max_queues * max_parts
     names = sorted({r["queue"] for r in sums})

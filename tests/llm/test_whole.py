@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from plumbline.llm import decontaminate, lm_score
+from plumbline.llm import decontaminate, lm_score, packing
+from plumbline.llm.queries import tokenizer_path
 
 
 def test_every_word_has_its_own_probability(spark):
@@ -64,3 +65,16 @@ def test_long_items_are_found_at_the_limit(n):
     found = bench.matches([b"", *texts, items[0][1], b"w1 w2"])
     assert all(i in {x[0] for x in own} for (i, _), own in zip(items * 3, found[1:], strict=False))
     assert found[-2] == [(0, 0, n, n)] and not found[0] and not found[-1]
+
+
+@pytest.mark.parametrize("max_queues", [1, 4])
+def test_targets_hold_with_many_sources(spark, max_queues):
+    rows = [(i, f"s{i % 12}", "the river and the stone " * 30) for i in range(240)] + [(240, None, "no source")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    pieces = packing.pack(docs, tokenizer_path(), window=1024, quantum=64, targets={"s0": 0.5, "s1": 0.25}, max_queues=max_queues).collect()
+    assert {p["doc_id"] for p in pieces} == {r[0] for r in rows}
+    held = Counter()
+    for p in pieces:
+        held[p["sequence_id"], p["source"]] += p["length"]
+    for k in range(2):  # before a source runs dry
+        assert abs(held[k, "s0"] - 512) <= 64 and abs(held[k, "s1"] - 256) <= 64
