@@ -1,24 +1,25 @@
 """Documents scored by masked pseudo-likelihood: a network that sees a window on both sides predicts every word.
 
-Passes over the corpus, none sampled by document.  First all distinct words are counted by a 64-bit hash, in a
-table that stays in the cluster.  Then the network is trained on masked positions (by default
-the rounds together mask every word once): each partition trains from the common parameters, and the parameters
-are averaged, weighted by positions, block by block in the cluster, so that what is gathered grows with the
-input while the driver holds one model.  Last, each word's log-probability given its neighbours is summed.
-
-The vocabulary is every distinct word.  The network tells the ``FREQUENT`` most frequent apart, and deals the others to
-``RARE`` tail tokens by hash; a tail word's probability is its token's, given the neighbours, times its own share in the
+All documents and all their words count.  A first pass counts every distinct word by its 64-bit hash, in a table that stays
+in the cluster.  A second one turns texts into tokens, once, and deals them to training slices by a hash of the
+document: which slices there are depends on the number of words alone, so neither the layout of the input nor the number
+of tasks changes a score.  In each round every slice trains a copy of the network on its share of the masked words
+(the rounds together mask every word once); the copies are averaged, weighted by words, in a tree in the
+cluster, so what is gathered grows with the input while the driver holds one model.  Last, each word's
+log-probability given its neighbours is summed.
+
+The vocabulary is every distinct word.  The network tells the ``frequent`` most frequent apart, and deals the others to
+``rare`` tail tokens by hash; a tail word's probability is its token's, given the neighbours, times its own share in the
 token by exact counts.  Each tail token keeps a share for words never seen.  Counts and words meet slice by slice of
-the hash, so no task holds the vocabulary.  The output is factored into a class and a word in it, which keeps a
-prediction to some hundred products.
+the word hash, in the exchange that also deals out the tokens, so no task holds the vocabulary.  The output is factored into
+a class and a word in it, which keeps a prediction to some hundred products.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,23 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batched, cut, utf8
 
 BUCKETS = 1 << 18
-FREQUENT, RARE = 1536, 512
-VOCABULARY = FREQUENT + RARE
+FREQUENT, RARE = 3584, 512
 PER_CLASS = 64
-CLASSES = VOCABULARY // PER_CLASS
 SIDE, DIM = 2, 16
-PAD = VOCABULARY
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _BLOCK = 1 << 14
-#: Slices of the word hash in which counts and words meet: so many at least, and about so many distinct words in each.
-_SLICES, _SLICE_WORDS = 256, 1 << 20
+#: Words of a training slice, and how many documents' words a slice trains on at a time.
+SLICE_WORDS, _CHUNK_WORDS = 2_000_000, 1 << 17
+#: Slices of the word hash in which counts and words meet: so many at least, and about so many distinct words in each; those
+#: that more words reach are read by several tasks.
+_SLICES, _SLICE_DISTINCT, _SLICE_READ = 16, 1 << 20, 64_000_000
+_FAN, _MOST_TASKS = 64, 100_000
 
 
-def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All words, their CRC-32, and the number of words of each text."""
+def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All words, and the number of words of each text."""
     split = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    words = list(chain.from_iterable(split))
-    return words, np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), n
+    return list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
 
 
 def _keys(words: list[bytes]) -> np.ndarray:
@@ -55,31 +55,74 @@ def _keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def _framed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _framed(ids: np.ndarray, n: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of several texts with ``SIDE`` pads before, between and after; and where the words are."""
     at = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(n)), n) + 1)
-    out = np.full(len(ids) + SIDE * (len(n) + 1), PAD, np.int64)
+    out = np.full(len(ids) + SIDE * (len(n) + 1), pad, np.int64)
     out[at] = ids
     return out, at
 
 
+class Vocabulary:
+    """What a network knows of the words: the frequent ones in a hash table, how often each token occurs in the corpus; of
+    each tail token the logarithms of what its words' counts are divided by, and of the share of one unseen word."""
+
+    def __init__(self, frequent: list[tuple[int, int]], rare: np.ndarray, most: int, buckets: int = BUCKETS):
+        """``frequent``: (key, count), the most frequent first.  ``rare``: places, distinct words and words that occur once, of
+        the words of each tail token, the frequent ones among them included."""
+        self.most, self.tail_tokens, rare = most, len(rare), rare.astype(np.float64)
+        self.size = most + self.tail_tokens
+        # An empty bucket holds a key that belongs elsewhere.
+        self.owner = ((np.arange(buckets, dtype=np.int64) + 1) % buckets) << 20
+        self.id_of, counts, known = np.zeros(buckets, np.int32), np.zeros(self.size), 0
+        taken = set()
+        for key, n in frequent:
+            bucket = (key >> 20) & (buckets - 1)
+            if known < most and bucket not in taken:  # of two frequent words in a bucket the lesser is a tail word
+                taken.add(bucket)
+                self.owner[bucket], self.id_of[bucket], counts[known] = key, known, n
+                rare[key % self.tail_tokens] -= n, 1, n == 1
+                known += 1
+        counts[most:] = rare[:, 0]
+        self.counts = counts
+        total = np.log(rare[:, 0] + rare[:, 2] + 1)
+        #: A tail token of n places, d words and s words that occur once gives a word of count c the share c / (n + s + 1), and the
+        #: rest in equal parts to 2 (d + 1) unseen words, so an unseen word is never likelier than half a word seen once.
+        self.total, self.unseen = total, np.log(rare[:, 2] + 1) - total - np.log(2 * (rare[:, 1] + 1))
+
+    def ids(self, keys: np.ndarray) -> np.ndarray:
+        """Tokens of words.  One that merely shares the bucket of a frequent word is a tail word."""
+        bucket = (keys >> 20) & (len(self.owner) - 1)
+        return np.where(self.owner[bucket] == keys, self.id_of[bucket], self.most + keys % self.tail_tokens).astype(np.int32)
+
+
 class Network:
     """h = tanh(sum of a vector for each neighbour's word and side); class and word-in-class by softmax of h."""
 
-    def __init__(self, id_of: np.ndarray, counts: np.ndarray, owner: np.ndarray, tail: np.ndarray, words: DataFrame, seed: int = 1):
+    def __init__(self, vocabulary: Vocabulary, words: DataFrame | None = None, seed: int = 1, dim: int = DIM):
         rng = np.random.default_rng(seed)
-        self.id_of, self.owner, self.tail, self.words = id_of, owner, tail, words
-        self.side = [(rng.standard_normal((VOCABULARY + 1, DIM)) * 0.1).astype(np.float32) for _ in _OFFSETS]
-        self.base = np.zeros(DIM, np.float32)
-        self.to_class = (rng.standard_normal((DIM, CLASSES)) * 0.1).astype(np.float32)
-        self.to_word = (rng.standard_normal((CLASSES, DIM, PER_CLASS)) * 0.1).astype(np.float32)
-        share = ((counts + 1) / (counts + 1).sum()).reshape(CLASSES, PER_CLASS)
+        self.vocabulary, self.words = vocabulary, words
+        self.pad = size = vocabulary.size
+        classes = size // PER_CLASS
+        if size % PER_CLASS:
+            raise ValueError(f"frequent and rare tokens must add up to a multiple of {PER_CLASS}")
+        self.side = [(rng.standard_normal((size + 1, dim)) * 0.1).astype(np.float32) for _ in _OFFSETS]
+        self.base = np.zeros(dim, np.float32)
+        self.to_class = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
+        self.to_word = (rng.standard_normal((classes, dim, PER_CLASS)) * 0.1).astype(np.float32)
+        counts = vocabulary.counts
+        share = ((counts + 1) / (counts + 1).sum()).reshape(classes, PER_CLASS)
         self.class_bias = np.log(share.sum(1)).astype(np.float32)
         self.word_bias = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "words"}  # a table is not sent to tasks
 
+    def copy(self) -> Network:
+        own = Network.__new__(Network)
+        own.__dict__ = {k: [x.copy() for x in v] if isinstance(v, list) else v.copy() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return own
+
     def parts(self) -> list[np.ndarray]:
         return [*self.side, self.base, self.to_class, self.to_word, self.class_bias, self.word_bias]
 
@@ -92,12 +135,6 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def ids(self, crc: np.ndarray) -> np.ndarray:
-        """Tokens of words.  One that merely shares the bucket of a frequent word is a tail word."""
-        bucket = crc & np.uint32(BUCKETS - 1)
-        ids = self.id_of[bucket]
-        return np.where((ids < FREQUENT) & (self.owner[bucket] != crc), FREQUENT + (bucket % RARE).astype(np.int64), ids)
-
     def hidden(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = np.tile(self.base, (len(at), 1))
         for table, o in zip(self.side, _OFFSETS, strict=True):
@@ -111,6 +148,12 @@ class Network:
         p = np.exp(logits)
         return p, p.sum(1)
 
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the rows by class, and (class, begin, end) of those that occur."""
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(cls, minlength=len(self.class_bias))).tolist()
+        return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if lo < hi]
+
     def log_probabilities(self, framed: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """Of the words at these places, given their neighbours."""
         out = np.empty(len(at))
@@ -121,18 +164,16 @@ class Network:
             logits = h @ self.to_class + self.class_bias
             _, total = self._softmax(logits)
             got = logits[np.arange(len(own)), cls] - np.log(total)
-            order = np.argsort(cls.astype(np.uint8), kind="stable")
-            ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
-            for c in range(CLASSES):
-                rows = order[(ends[c - 1] if c else 0) : ends[c]]
-                if len(rows):
-                    logits = h[rows] @ self.to_word[c] + self.word_bias[c]
-                    _, total = self._softmax(logits)
-                    got[rows] += logits[np.arange(len(rows)), word[rows]] - np.log(total)
+            order, spans = self._by_class(cls)
+            for c, lo, hi in spans:
+                rows = order[lo:hi]
+                logits = h[rows] @ self.to_word[c] + self.word_bias[c]
+                _, total = self._softmax(logits)
+                got[rows] += logits[np.arange(len(rows)), word[rows]] - np.log(total)
             out[i : i + step] = got
         return out
 
-    def train(self, framed: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float = 0.1, batch: int = 1024) -> None:
+    def train(self, framed: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float = 0.1, batch: int = 4096) -> None:
         """One pass over these places; ``memory`` holds the squared gradients of Adagrad."""
         for i in range(0, len(at), batch):
             own = at[i : i + batch]
@@ -146,13 +187,10 @@ class Network:
             grads[0], grads[2] = h.T @ p, p.sum(0)
             dh = p @ self.to_class.T
             grads[1], grads[3] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-            order = np.argsort(cls.astype(np.uint8), kind="stable")
-            ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+            order, spans = self._by_class(cls)
             sorted_h, sorted_word = h[order], word[order]
             back = np.zeros_like(sorted_h)
-            for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
-                if lo == hi:
-                    continue
+            for c, lo, hi in spans:
                 q, total = self._softmax(sorted_h[lo:hi] @ self.to_word[c] + self.word_bias[c])
                 q /= total[:, None]
                 q[rows[: hi - lo], sorted_word[lo:hi]] -= 1
@@ -162,7 +200,7 @@ class Network:
             dh *= 1 - h * h
             k = len(self.side)
             for j, (table, o) in enumerate(zip(self.side, _OFFSETS, strict=True)):
-                near = framed[own + o].astype(np.int16)
+                near = framed[own + o].astype(np.uint16 if self.pad < 1 << 16 else np.int64)
                 order = np.argsort(near, kind="stable")
                 near = near[order]
                 first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
@@ -175,217 +213,290 @@ class Network:
                 part -= rate * g / np.sqrt(m + 1e-6)
 
 
-def _summed(rows: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
-    """``rows(block, part, weight, sums)`` of all partitions, summed for each block in the cluster; in order of partition,
-    so that the result doesn't depend on which arrives first."""
+def vocabulary(docs: DataFrame, frequent: int = FREQUENT, rare: int = RARE) -> tuple[Vocabulary, DataFrame]:
+    """The words of ``docs(text)``, and the table ``(word, n)`` of all distinct ones, which stays in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b, "text")
+            for i, j in batched(map(len, texts), 4_000_000):
+                count = Counter(chain.from_iterable(t.lower().split() for t in texts[i:j]))
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(list(count))), pa.array(count.values(), pa.int64())], ["word", "n"])
+
+    words = cut(docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    sums = np.zeros((rare, 3))
+    for r in words.groupBy(F.pmod("word", F.lit(rare)).alias("t")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("s")).collect():
+        sums[r["t"]] = r["n"], r["d"], r["s"]
+    top = [(r["word"], r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(2 * frequent).collect()]
+    return Vocabulary(top, sums, frequent, max(BUCKETS, 1 << (128 * frequent).bit_length())), words
+
+
+_KINDS = "kind int, place long, number long, at int, h long, doc_id long, n int, x binary, y binary"
+_NAMES = [x.split()[0] for x in _KINDS.split(", ")]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+#: Rows of the exchange: distinct words' gains, a batch's tail words, a document's tokens; and what comes of the tail words.
+_GAINS, _TAIL, _TOKENS, _GAINED = range(4)
+_TRAINING = 1 << 40  # places from here on are training slices
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _grouped(own: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each value below ``size`` stands."""
+    order = np.argsort(own.astype(np.uint16) if size <= 1 << 16 else own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=size)).tolist()
+    return ((k, order[i:j]) for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)) if i < j)
+
+
+def tokens(rows: DataFrame, known: Vocabulary, words: DataFrame, slice_words: int = SLICE_WORDS) -> tuple[DataFrame, int]:
+    """``rows(doc_id, text)`` as a stored table of documents' tokens, dealt to training slices and in the order of a hash there, and
+    of what their tail words' logarithms are above unseen ones'; and the number of training slices."""
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    training = max(1, -(-total // slice_words))
+    slices = _SLICES
+    while slices * _SLICE_DISTINCT < distinct:
+        slices *= 2
+    readers = max(1, -(-total // (slices * _SLICE_READ)))
+    told = rows.sparkSession.sparkContext.broadcast(known)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every reader of a slice gets what a seen word's logarithm is above an unseen one's."""
+        known = told.value
+        base = known.total + known.unseen
+        for b in batches:
+            keys, n = (b.column(c).to_numpy() for c in ("word", "n"))
+            gain = np.log(n) - base[keys % known.tail_tokens]
+            found = [(_GAINS, k * readers + r, 0, 0, 0, 0, 0, keys[at].tobytes(), gain[at].tobytes()) for k, at in _grouped((keys >> 40) & (slices - 1), slices) for r in range(readers)]
+            if found:
+                yield _rows(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = told.value, TaskContext.get().partitionId() << 32
+        small = known.size < 1 << 16
+        for b in batches:
+            texts, ids = utf8(b, "text"), b.column("doc_id").to_pylist()
+            for i, j in batched(map(len, texts), 2_000_000):
+                words, n = _split(texts[i:j])
+                keys = _keys(words)
+                own = known.ids(keys)
+                tail = own >= known.most
+                doc, keys = np.repeat(np.arange(len(n), dtype=np.int32), n)[tail], keys[tail]
+                found = []
+                for k, at in _grouped((keys >> 40) & (slices - 1), slices):
+                    held = doc[at]
+                    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+                    runs = np.stack([held[first], np.diff(np.r_[first, len(held)])]).astype(np.int32)
+                    found.append((_TAIL, k * readers + number % readers, number, 0, 0, 0, 0, keys[at].tobytes(), runs.tobytes()))
+                own, ends = own.astype(np.uint16) if small else own, np.cumsum(n)
+                for at, (doc_id, text, m, end) in enumerate(zip(ids[i:j], texts[i:j], n.tolist(), ends.tolist(), strict=True)):
+                    h = xxhash.xxh3_64_intdigest(text, (doc_id or 0) & 0xFFFFFFFFFFFFFFFF)
+                    found.append((_TOKENS, _TRAINING + (h >> 8) % training, number, at, h - (1 << 63), doc_id, m, own[end - m : end].tobytes(), b""))
+                number += 1
+                yield _rows(found)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tail words with the gains of their slice, summed by document; documents pass."""
+        now, held, keys, gain = None, [], None, None
+        for b in batches:
+            kinds = b.column("kind").to_numpy()
+            passing = kinds == _TOKENS
+            if passing.any():
+                yield b.filter(pa.array(passing))
+            found = []
+            others = b.filter(pa.array(~passing))
+            for kind, place, number, x, y in zip(*(others.column(c).to_pylist() for c in ("kind", "place", "number", "x", "y")), strict=True):
+                if place != now:
+                    now, held, keys = place, [], None
+                if kind == _GAINS:
+                    held.append((np.frombuffer(x, np.int64), np.frombuffer(y)))
+                    continue
+                if keys is None:
+                    keys, gain = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0)), *held, strict=True))
+                    order = np.argsort(keys)
+                    keys, gain, held = keys[order], gain[order], []
+                own, (doc, m) = np.frombuffer(x, np.int64), np.frombuffer(y, np.int32).reshape(2, -1)
+                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                got = np.where(keys[at] == own, gain[at], 0.0) if len(keys) else np.zeros(len(own))
+                found.append((_GAINED, place, number, 0, 0, 0, 0, doc.tobytes(), np.add.reduceat(got, np.cumsum(m) - m).tobytes()))
+            if found:
+                yield _rows(found)
+
+    both = words.mapInArrow(gains, _KINDS).union(rows.mapInArrow(run, _KINDS))
+    spread = min(_MOST_TASKS, max(slices * readers + training, rows.sparkSession.sparkContext.defaultParallelism))
+    return cut(both.repartition(spread, "place").sortWithinPartitions("place", "kind", "h", "doc_id").mapInArrow(meet, _KINDS)), training
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int, wide: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple], bool]]:
+    """Tokens of consecutive documents of one slice, ``most`` of them or a little more: (place, ids, words of each, the documents'
+    ``(number, at, doc_id)``, hashes).  Where a chunk ends depends on the slice's documents alone."""
+    now, held, size = None, [], 0
+
+    def out():
+        ids = np.frombuffer(b"".join(r[5] for r in held), np.int32 if wide else np.uint16).astype(np.int64)
+        return now, ids, np.array([r[4] for r in held], np.int64), [r[:3] for r in held], np.array([r[3] for r in held], np.int64)
+
+    for b in batches:
+        for place, number, at, doc_id, h, n, x in zip(*(b.column(c).to_pylist() for c in ("place", "number", "at", "doc_id", "h", "n", "x")), strict=True):
+            if held and (place != now or size >= most):
+                yield out()
+                held, size = [], 0
+            now = place
+            held.append((number, at, doc_id, h, n, x))
+            size += n
+    if held:
+        yield out()
+
+
+def _masked(h: np.ndarray, n: np.ndarray, every: int, turn: int) -> np.ndarray:
+    """Which words are masked in a turn: one place in ``every`` of each text, another in each turn.  Where it begins depends
+    on the document's hash, so that short ones are met as often as long ones."""
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return (place + np.repeat(h & 0xFFFF, n) + turn) % every == 0
+
+
+def _averaged(rows: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """``rows(block, part, weight, means)`` of the parts 0 to ``parts - 1``, averaged for each block in a tree whose nodes join ``_FAN``
+    neighbours; in order of part, so that the result doesn't depend on which arrives first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, weight = None, None, 0.0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["block", "weight", "sums"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "part", "weight", "means"])
 
         for b in batches:
-            for block, w, sums in zip(*(b.column(c).to_pylist() for c in ("block", "weight", "sums")), strict=True):
-                values = np.frombuffer(sums, np.float32).astype(np.float64)
-                if block != now:
+            for block, parent, w, means in zip(*(b.column(c).to_pylist() for c in ("block", "parent", "weight", "means")), strict=True):
+                values = np.frombuffer(means, np.float32).astype(np.float64) * w
+                if (block, parent) != now:
                     if now is not None:
                         yield out()
-                    now, total, weight = block, values, w
+                    now, total, weight = (block, parent), values, w
                 else:
                     total, weight = total + values, weight + w
         if now is not None:
             yield out()
 
-    done = rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, "block int, weight double, sums binary")
-    return {r["block"]: (np.frombuffer(r["sums"], np.float64), r["weight"]) for r in done.collect()}  # one model's or vocabulary's size
-
+    while True:
+        up = rows.withColumn("parent", F.floor(F.col("part") / _FAN).cast("long"))
+        rows = up.repartition("block", "parent").sortWithinPartitions("block", "parent", "part").mapInArrow(run, _MEANS)
+        parts = -(-parts // _FAN)
+        if parts <= 1:
+            return {r["block"]: np.frombuffer(r["means"], np.float32) for r in rows.collect()}  # one model's size
 
-def _blocks(values: np.ndarray, weight: float) -> pa.RecordBatch:
-    starts = range(0, len(values), _BLOCK)
-    packed = [values[i : i + _BLOCK].astype(np.float32).tobytes() for i in starts]
-    part = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([part] * len(packed), pa.int32()), pa.array([float(weight)] * len(packed)), pa.array(packed, pa.binary())], ["block", "part", "weight", "sums"])
 
+_MEANS = "block int, part long, weight double, means binary"
 
-_MEETING = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("number", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
-_SUMS = "block int, part int, weight double, sums binary"
 
+def _blocks(values: np.ndarray, weight: int, part: int) -> pa.RecordBatch:
+    packed = [values[i : i + _BLOCK].tobytes() for i in range(0, len(values), _BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([part] * len(packed), pa.int64()), pa.array([float(weight)] * len(packed)), pa.array(packed, pa.binary())], ["block", "part", "weight", "means"])
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
-    """What a network knows of the words: token id of each bucket; how often each token occurs in the corpus; the CRC-32 of
-    the frequent word in each bucket; of each tail token the logarithms of what its words' counts are divided by, and
-    of the share of one unseen word; and the table ``(word, crc, n)`` of all distinct words, which stays in the cluster.
 
-    A tail token of n places, d words and s words that occur once gives a word of count c the share c / (n + s + 1), and
-    the rest in equal parts to 2 (d + 1) unseen words, so an unseen word is never likelier than half a word seen once.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b, "text")
-            for i, j in batched(map(len, texts), 4_000_000):
-                count = Counter(chain.from_iterable(t.lower().split() for t in texts[i:j]))
-                if count:
-                    own = list(count)
-                    yield pa.RecordBatch.from_arrays([pa.array(_keys(own)), pa.array(map(zlib.crc32, own), pa.int64()), pa.array(count.values(), pa.int64())], ["word", "crc", "n"])
-
-    words = cut(docs.mapInArrow(run, "word long, crc long, n long").groupBy("word", "crc").agg(F.sum("n").alias("n")))
-    rare = np.zeros((RARE, 3))
-    for r in words.groupBy((F.col("crc") % RARE).alias("t")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("s")).collect():
-        rare[r["t"]] = r["n"], r["d"], r["s"]
-    id_of, owner, counts = FREQUENT + np.arange(BUCKETS) % RARE, np.zeros(BUCKETS, np.uint32), np.zeros(VOCABULARY)
-    known = 0
-    for r in words.orderBy(F.desc("n"), "word").limit(2 * FREQUENT).collect():
-        bucket = r["crc"] & (BUCKETS - 1)
-        if known < FREQUENT and id_of[bucket] >= FREQUENT:  # of two frequent words in a bucket the lesser is a tail word
-            id_of[bucket], owner[bucket], counts[known] = known, r["crc"], r["n"]
-            rare[r["crc"] % RARE] -= r["n"], 1, r["n"] == 1
-            known += 1
-    counts[FREQUENT:] = rare[:, 0]
-    total = np.log(rare[:, 0] + rare[:, 2] + 1)
-    tail = np.array([total, np.log(rare[:, 2] + 1) - total - np.log(2 * (rare[:, 1] + 1))])
-    return id_of.astype(np.int64), counts, owner, tail, words
-
-
-def _masked(texts: list[bytes], n: np.ndarray, every: int, turn: int) -> np.ndarray:
-    """Which words are masked in a turn: one place in ``every`` of each text, another in each turn.  Where it begins depends
-    on the text, so that short ones are met as often as long ones."""
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    shift = np.repeat(np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)), n)
-    return (place + shift + turn) % every == 0
-
-
-def train(docs: DataFrame, rounds: int = 2, mask_every: int | None = None) -> Network:
-    """Fit the network on ``docs(text)``, all documents in every round.  ``mask_every`` is the number of rounds by default, so
-    that the rounds together train on every word once; a larger one leaves words out."""
-    mask_every = mask_every or max(rounds, 1)
-    sc = docs.sparkSession.sparkContext
-    net = Network(*vocabulary(docs))
-    size = len(net.flat())
+def _fit(net: Network, stored: DataFrame, training: int, rounds: int, mask_every: int) -> None:
+    """Train ``net`` on the stored tokens."""
+    sc, wide = stored.sparkSession.sparkContext, net.vocabulary.size >= 1 << 16
     for turn in range(rounds):
         told = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], told=told, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, seen = Network.__new__(Network), 0
-            own.__dict__ = {k: [x.copy() for x in v] if isinstance(v, list) else v.copy() for k, v in told.value.__dict__.items()}
-            memory = [np.zeros_like(p) for p in own.parts()]
-            for b in batches:
-                texts = utf8(b, "text")
-                for i, j in batched(map(len, texts), 4_000_000):
-                    _, crc, n = _split(texts[i:j])
-                    framed, at = _framed(own.ids(crc), n)
-                    masked = at[_masked(texts[i:j], n, mask_every, turn * (mask_every // max(rounds, 1)))]
-                    own.train(framed, masked, memory)
-                    seen += len(masked)
+            now, own, memory, seen = None, None, None, 0
+            for place, ids, n, _, h in _chunks(batches, _CHUNK_WORDS, wide):
+                if place != now:
+                    if seen:
+                        yield _blocks(own.flat(), seen, now - _TRAINING)
+                    now, own, seen = place, told.value.copy(), 0
+                    memory = [np.zeros_like(p) for p in own.parts()]
+                framed, at = _framed(ids, n, own.pad)
+                masked = at[_masked(h, n, mask_every, turn * (mask_every // max(rounds, 1)))]
+                own.train(framed, masked, memory)
+                seen += len(masked)
             if seen:
-                yield _blocks(own.flat().astype(np.float64) * seen, seen)
+                yield _blocks(own.flat(), seen, now - _TRAINING)
 
-        sums = _summed(docs.mapInArrow(run, _SUMS))
-        if sums:
-            net.load(np.concatenate([sums[k][0] / sums[k][1] for k in sorted(sums)])[:size])
-    return net
+        means = _averaged(stored.where(F.col("kind") == _TOKENS).mapInArrow(run, _MEANS), training)
+        if means:
+            net.load(np.concatenate([means[k] for k in sorted(means)]))
 
 
-def score(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, log_likelihood, per_word)``: the summed conditional log-probabilities of a text's words, and
-    their mean (null without words).
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = F.col(id_col).cast("long") if id_col in docs.columns else F.lit(None).cast("long")
+    return docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))
 
-    Null and empty texts have no words and a sum of 0; null ids and repeated rows are scored like any row; extra
-    columns are not read; an empty table gives an empty one.  A single text of any length is read whole.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    net = net or train(rows.select("text"))
-    told = docs.sparkSession.sparkContext.broadcast(net)
-    slices = _SLICES
-    known = net.words.count()
-    while slices * _SLICE_WORDS < known:
-        slices *= 2
 
-    def by_slice(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        own = keys & (slices - 1)
-        order = np.argsort(own.astype(np.uint16) if slices <= 1 << 16 else own, kind="stable")
-        ends = np.cumsum(np.bincount(own, minlength=slices)).tolist()
-        return ((k, order[i:j]) for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)) if i < j)
+def train(docs: DataFrame, rounds: int = 2, mask_every: int | None = None, frequent: int = FREQUENT, rare: int = RARE, slice_words: int = SLICE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """Fit the network, on all documents in every round.  ``mask_every`` is the number of rounds by default, so that
+    the rounds together train on every word once; a larger one leaves words out.  ``frequent`` words have a token of their own.
 
-    def packed(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), _MEETING, strict=True)], schema=_MEETING)
+    Null and empty texts have no words; null ids count as 0; repeated rows train as often as they occur; extra columns are
+    not read; an empty table leaves the network as it began.
+    """
+    return _trained(_numbered(docs, id_col, text_col), rounds, mask_every, frequent, rare, slice_words)[0]
 
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a seen tail word's logarithm is above an unseen one's."""
-        total, unseen = told.value.tail
-        for b in batches:
-            keys, crc, n = (b.column(c).to_numpy() for c in ("word", "crc", "n"))
-            gain = np.log(n) - (total + unseen)[crc % RARE]
-            found = [(k, 0, 0, keys[at].tobytes(), gain[at].tobytes(), b"") for k, at in by_slice(keys)]
-            if found:
-                yield packed(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, number = told.value, TaskContext.get().partitionId() << 32
-        for b in batches:
-            texts = utf8(b, "text")
-            for i, j in batched(map(len, texts), 2_000_000):
-                words, crc, n = _split(texts[i:j])
-                ids = net.ids(crc)
-                framed, at = _framed(ids, n)
-                each = net.log_probabilities(framed, at)
-                doc, rare = np.repeat(np.arange(len(n), dtype=np.int32), n), ids >= FREQUENT
-                each[rare] += net.tail[1, ids[rare] - FREQUENT]
-                sums, doc, keys = np.bincount(doc, each, len(n)), doc[rare], _keys(list(compress(words, rare.tolist())))
-                own = b.column("doc_id").slice(i, j - i)
-                found = [(k, 1, number, keys[at].tobytes(), doc[at].tobytes(), b"") for k, at in by_slice(keys)]
-                found.append((number * 40503 % slices, 2, number, own.fill_null(0).to_numpy().tobytes(), own.is_null().to_numpy(zero_copy_only=False).tobytes(), n.tobytes() + sums.tobytes()))
-                number += 1
-                yield packed(found)
+def _trained(rows: DataFrame, rounds: int, mask_every: int | None, frequent: int, rare: int, slice_words: int) -> tuple[Network, DataFrame]:
+    known, words = vocabulary(rows.select("text"), frequent, rare)
+    net = Network(known, words)
+    stored, training = tokens(rows, known, words, slice_words)
+    _fit(net, stored, training, rounds, mask_every or max(rounds, 1))
+    return net, stored
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of documents with the gains of their slice, summed by document; documents pass."""
-        now, held, keys, gain = None, [], None, None
-        for b in batches:
-            found = []
-            for k, kind, number, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != now:
-                    now, held, keys = k, [], None
-                if kind == 0:
-                    held.append((np.frombuffer(x, np.int64), np.frombuffer(y)))
-                    continue
-                if kind == 1:
-                    if keys is None:
-                        keys, gain = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0)), *held, strict=True))
-                        order = np.argsort(keys)
-                        keys, gain, held = keys[order], gain[order], []
-                    own, doc = np.frombuffer(x, np.int64), np.frombuffer(y, np.int32)
-                    at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                    got = np.where(keys[at] == own, gain[at], 0.0) if len(keys) else np.zeros(len(own))
-                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    x, y = doc[first].tobytes(), np.add.reduceat(got, first).tobytes()
-                found.append((k, kind, number, x, y, z))
-            if found:
-                yield packed(found)
 
-    def out(ids: bytes, null: bytes, data: bytes, more: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        own = len(null)
-        n, sums = np.frombuffer(data, np.int64, own), np.frombuffer(data, np.float64, own, 8 * own).copy()
-        for doc, gain in more:
-            sums[np.frombuffer(doc, np.int32)] += np.frombuffer(gain)
-        mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(n), pa.array(sums), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+def score(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, frequent: int = FREQUENT, rare: int = RARE, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """``(doc_id, n_words, log_likelihood, per_word)``: the summed conditional log-probabilities of a text's words, and
+    their mean (null without words).  Without a ``net`` one is trained on ``docs``, from the same tokens.
+
+    Null and empty texts have no words and a sum of 0; null ids and repeated rows are scored like any row; extra
+    columns are not read; an empty table gives an empty one.  A single text of any length is read whole.  Scores do not depend
+    on how the rows are laid out in partitions or files.
+    """
+    rows = _numbered(docs, id_col, text_col)
+    if net is None:
+        net, stored = _trained(rows, rounds, None, frequent, rare, slice_words)
+    else:
+        stored, _ = tokens(rows, net.vocabulary, net.words, slice_words)
+    told, wide = docs.sparkSession.sparkContext.broadcast(net), net.vocabulary.size >= 1 << 16
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = told.value
+        for _, ids, n, rows, _ in _chunks(batches, 1 << 16, wide):
+            framed, at = _framed(ids, n, net.pad)
+            each, tail = net.log_probabilities(framed, at), ids >= net.vocabulary.most
+            each[tail] += net.vocabulary.unseen[ids[tail] - net.vocabulary.most]
+            own = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
+            number, place, doc_id = zip(*rows, strict=True)
+            some = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([_TOKENS] * some, pa.int32()), pa.array(number, pa.int64()), pa.array(place, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(n), pa.array(own), pa.nulls(some, pa.binary()), pa.nulls(some, pa.binary())], ["kind", "number", "at", "doc_id", "n_words", "sum", "x", "y"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, more = None, []
+        """A batch's documents come first, then the gains of their tail words."""
+        now, held, own = None, [], None
+
+        def out():
+            ids, n = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "n_words"))
+            mean = pa.array(own / np.maximum(n.to_numpy(), 1), mask=n.to_numpy() == 0)
+            return pa.RecordBatch.from_arrays([ids, n, pa.array(own), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+
         for b in batches:
-            for _, kind, _, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 2:
-                    if now:
-                        yield out(*now, more)
-                    now, more = (x, y, z), []
+            number, kind = b.column("number").to_numpy(), b.column("kind").to_numpy()
+            edges = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (kind[1:] != kind[:-1])]).tolist() if len(number) else []
+            for i, j in zip(edges, [*edges[1:], len(number)], strict=True):
+                if number[i] != now:
+                    if held:
+                        yield out()
+                    now, held, own = number[i], [], np.zeros(0)
+                if kind[i] == _TOKENS:
+                    held.append(b.slice(i, j - i))
+                    own = np.concatenate([own, held[-1].column("sum").to_numpy()])
                 else:
-                    more.append((x, y))
-        if now:
-            yield out(*now, more)
-
-    kinds = "slice int, kind int, number long, x binary, y binary, z binary"
-    both = net.words.mapInArrow(gains, kinds).union(rows.mapInArrow(run, kinds))
-    met = both.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(meet, kinds)
-    return met.repartition("number").sortWithinPartitions("number", F.desc("kind"), "slice").mapInArrow(total, "doc_id long, n_words long, log_likelihood double, per_word double")
+                    for x, y in zip(*(b.column(c).slice(i, j - i).to_pylist() for c in ("x", "y")), strict=True):
+                        own[np.frombuffer(x, np.int32)] += np.frombuffer(y)
+        if held:
+            yield out()
+
+    found = stored.where(F.col("kind") == _TOKENS).mapInArrow(sums, "kind int, number long, at int, doc_id long, n_words long, sum double, x binary, y binary")
+    gained = stored.where(F.col("kind") == _GAINED).select("kind", "number", F.lit(0).alias("at"), F.col("place").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("sum"), "x", "y")
+    met = found.union(gained).repartition("number").sortWithinPartitions("number", "kind", "at", "doc_id")
+    return met.mapInArrow(total, "doc_id long, n_words long, log_likelihood double, per_word double")

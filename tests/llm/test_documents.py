@@ -296,8 +296,8 @@ def test_scores_by_hand(docs, rows, empty):
     got = Counter((r["doc_id"], r["n_words"], round(r["log_likelihood"], 3)) for r in lm_score.score(docs, net).collect())
     want = Counter()
     for r in rows:
-        ids = [int(net.id_of[zlib.crc32(w) & (lm_score.BUCKETS - 1)]) for w in (r[1] or "").encode().lower().split()]
-        framed = [lm_score.PAD] * 2 + ids + [lm_score.PAD] * 2
+        ids = net.vocabulary.ids(lm_score._keys((r[1] or "").encode().lower().split())).tolist()
+        framed = [net.pad] * 2 + ids + [net.pad] * 2
         total = 0.0
         for i, y in enumerate(ids):
             h = np.tanh(net.base + sum(t[framed[i + 2 + o]] for t, o in zip(net.side, (-2, -1, 1, 2), strict=True)))

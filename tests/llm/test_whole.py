@@ -1,6 +1,5 @@
 """The whole job where a bound once cut it: rare words, all positions, long items, many sources."""
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,18 +12,18 @@ from plumbline.llm.queries import tokenizer_path
 def test_every_word_has_its_own_probability(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{min(int(x), 30_000)}" for x in rng.zipf(1.2, 200)) for _ in range(150)]
-    net = lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"), rounds=1)
+    net = lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"), rounds=1, frequent=1536)
     count = Counter(w for t in texts for w in t.split())
-    token = lambda w: int(net.ids(np.array([zlib.crc32(w.encode())], np.uint32))[0])
+    token = lambda w: int(net.vocabulary.ids(lm_score._keys([w.encode()]))[0])
     by = {}
     for w in count:
         by.setdefault(token(w), []).append(w)
-    assert len(count) > 3000 and all(len(x) == 1 for t, x in by.items() if t < lm_score.FREQUENT)
-    tail = max((t for t in by if t >= lm_score.FREQUENT), key=lambda t: len({count[w] for w in by[t]}))
+    assert len(count) > 3000 and all(len(x) == 1 for t, x in by.items() if t < 1536)
+    tail = max((t for t in by if t >= 1536), key=lambda t: len({count[w] for w in by[t]}))
     strange = next(w for w in (f"x{i}" for i in range(10**6)) if token(w) == tail)
     own = [*by[tail], strange]
     got = {own[r["doc_id"]]: r["log_likelihood"] for r in lm_score.score(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), net).collect()}
-    framed = np.array([lm_score.PAD] * 2 + [tail] + [lm_score.PAD] * 2)
+    framed = np.array([net.pad] * 2 + [tail] + [net.pad] * 2)
     base = net.log_probabilities(framed, np.array([2]))[0]
     total, once = sum(count[w] for w in by[tail]), sum(count[w] == 1 for w in by[tail])
     for w in by[tail]:
@@ -40,14 +39,32 @@ def test_rounds_train_on_every_word(spark, monkeypatch, rounds):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in [1, 2, 3, 15, 16, 17, 40] * 3]
     words = sum(len(t.split()) for t in texts)
     data = spark.createDataFrame([(t,) for t in texts], "text string")
-    turns = [lm_score._masked([t.encode() for t in texts], np.array([len(t.split()) for t in texts]), rounds, k) for k in range(rounds)]
+    hashes = rng.integers(-(1 << 62), 1 << 62, len(texts))
+    turns = [lm_score._masked(hashes, np.array([len(t.split()) for t in texts]), rounds, k) for k in range(rounds)]
     assert (np.sum(turns, axis=0) == 1).all() and len(turns[0]) == words
-    weights, summed = [], lm_score._summed
-    monkeypatch.setattr(lm_score, "_summed", lambda rows: weights.append(rows.where("block = 0").groupBy().sum("weight").first()[0]) or summed(rows))
-    lm_score.train(data, rounds)
+    weights, averaged = [], lm_score._averaged
+    monkeypatch.setattr(lm_score, "_averaged", lambda rows, parts: weights.append(rows.where("block = 0").groupBy().sum("weight").first()[0]) or averaged(rows, parts))
+    lm_score.train(data, rounds, slice_words=100)
     assert sum(weights) == words
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = []
+    for parts in (1, 16):
+        found = lm_score.score(docs.repartition(parts), slice_words=20_000).collect()  # several slices
+        scores.append({r["doc_id"]: r["log_likelihood"] for r in found})
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count()
+
+
+def test_tree_of_averages(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "_FAN", 3)
+    rows = [(0, k, float(k % 4 + 1), np.array([k, 1], np.float32).tobytes()) for k in range(30)]
+    found = lm_score._averaged(spark.createDataFrame(rows, lm_score._MEANS), 30)
+    weights = np.array([r[2] for r in rows])
+    assert found[0] == pytest.approx([np.average(np.arange(30), weights=weights), 1], rel=1e-5)
+
+
 @pytest.mark.parametrize("n", [500, 1000, 2000])
 def test_long_items_are_found_at_the_limit(n):
     rng = np.random.default_rng(n)
