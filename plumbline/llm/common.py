@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

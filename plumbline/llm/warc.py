@@ -1,9 +1,11 @@
 """WARC archives: written by tasks, read back as records, and assembled into captures.
 
-A page becomes three records: the request, the response (or, where an earlier page has the same payload, a
+A page becomes three records: the request, the response (or, where a page of a smaller id has the same payload, a
 revisit without it) and metadata.  Request and metadata name their response by WARC-Concurrent-To.  Assembly
 joins records through those identifiers, whichever side names the other and also over one record between,
-and emits one nested row per capture.
+and emits one nested row per capture.  A revisit is resolved, as its profile says, by the payload's digest.
+
+No join here broadcasts: both sides grow with the pages, so all are merge joins, whose hot keys adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, shared_dir
+from plumbline.llm.common import cut, remove, shared_dir
 
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 1 << 30
@@ -51,10 +54,11 @@ def _record(headers: list[tuple[str, str | None]], block: bytes, level: int) ->
     return z.compress(head.encode("utf-8")) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def _capture(page_id: int | None, url: str | None, payload: bytes, first_id: int | None, first_url: str | None, revisit: bool, level: int) -> Iterator[bytes]:
-    digest = digest_base32(payload)
+def _capture(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, first_url: str | None, revisit: bool, number: str, level: int) -> Iterator[bytes]:
+    """The records of a page; ``number`` tells it from all other rows, also from those that repeat it."""
+    digest = base64.b32encode(sha1).decode()
     uri = None if url is None else _line(url)
-    own = _urn("capture", page_id, url, digest)
+    own = _urn("capture", page_id, url, digest, number)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     host = re.sub(r"^[a-z]+://([^/?#]*).*$", r"\1", uri or "", flags=re.DOTALL)
     yield _record(
@@ -63,7 +67,7 @@ def _capture(page_id: int | None, url: str | None, payload: bytes, first_id: int
         level,
     )
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    same = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn("capture", first_id, first_url, digest))]
+    same = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", None if first_url is None else _line(first_url)), ("WARC-Refers-To-Date", DATE)]
     yield _record(
         [*(same if revisit else [("WARC-Type", "response")]), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")],
         block if revisit else block + payload,
@@ -80,14 +84,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write ``pages`` as gzipped WARC files below ``folder``, and return the manifest ``(file, records, bytes)``.
 
     The manifest is committed by Spark, so it names only files of successful task attempts; what a lost executor
-    left behind is never read.  Of equal payloads of ``least_bytes`` or more the one of the smallest id is
-    written in full, the others as revisits; a payload without any id is always written in full.  Only hashes,
+    left behind is never read.  Of equal payloads of ``least_bytes`` or more those of the smallest id are
+    written in full, the others as revisits; a payload without any id is always written in full.  Every row is a capture of its
+    own, repeated rows too: identifiers hold the writing task's number and a count of its rows.  Only hashes,
     ids and addresses are grouped; a hot payload meets in partial aggregates and in a join that may be split.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
     firsts = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"))
-    rows = rows.join(firsts, "digest", "left").select("page_id", "url", F.col("payload").cast("binary").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.col("first"))).alias("revisit"))
+    rows = rows.join(firsts.hint("merge"), "digest", "left").select("page_id", "url", F.col("payload").cast("binary").alias("payload"), "digest", F.col("first.url").alias("first_url"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).alias("revisit"))
     folder = folder.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +100,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         fs.create_dir(f"{base}/archives", recursive=True)
         out, name, done = None, "", []
         records = size = 0
+        part, number = TaskContext.get().partitionId(), 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id", "first_url", "revisit")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first_url", "revisit")), strict=True):
                 if out is None:
                     name, records, size = f"archives/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                for data in _capture(*row, level):
+                number += 1
+                for data in _capture(*row, f"{part}.{number}", level):
                     out.write(data)
                     records, size = records + 1, size + len(data)
                 if size >= ROLL_BYTES:
@@ -195,18 +202,23 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
     return manifest.select("file").repartition(files, "file").mapInArrow(run, _RECORD)
 
 
-def _anchors(records: DataFrame) -> DataFrame:
-    """``(record_id, anchor)``: the response or revisit that each record belongs to, over one or two links of either
-    direction; for records that reach none, the smallest identifier among themselves and those they are linked to."""
-    main = records.where("type in ('response', 'revisit')").select("record_id").distinct()
-    links = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    both = links.union(links.select("b", "a")).where("a <> b").distinct()
-    own = main.select("record_id", F.col("record_id").alias("anchor"), F.lit(0).alias("far"))
-    near = both.join(main, both.b == main.record_id).select(F.col("a").alias("record_id"), F.col("b").alias("anchor"), F.lit(1).alias("far"))
-    over = both.join(near.select(F.col("record_id").alias("r"), "anchor"), F.col("b") == F.col("r")).select(F.col("a").alias("record_id"), "anchor", F.lit(2).alias("far"))
-    alone = both.select(F.col("a").alias("record_id"), F.least("a", "b").alias("anchor"), F.lit(3).alias("far")).union(records.select("record_id", F.col("record_id").alias("anchor"), F.lit(4).alias("far")))
-    every = own.union(near).union(over).union(alone)
-    return every.groupBy("record_id").agg(F.min(F.struct("far", "anchor"))["anchor"].alias("anchor"))
+def _anchors(main: DataFrame, other: DataFrame) -> DataFrame:
+    """``(record_id, anchor)`` of the ``other`` records: the response or revisit (``main``) that each belongs to, over one or two
+    links of either direction; for those that reach none, the smallest identifier among themselves and those they are linked to."""
+    named = other.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).where("a <> b")
+    naming = main.select(F.explode("concurrent_to").alias("a"), F.col("record_id").alias("b")).where("a <> b")
+    direct = named.join(main.select(F.col("record_id").alias("b")).distinct().hint("merge"), "b").select("a", "b").union(naming)
+    near = direct.groupBy(F.col("a").alias("record_id")).agg(F.min("b").alias("anchor"))
+    found = cut(other.select("record_id").distinct().join(near.hint("merge"), "record_id", "left"))
+    lost = found.where("anchor is null").select("record_id")
+    if lost.isEmpty():
+        return found
+    found = found.where("anchor is not null")
+    both = named.union(named.select("b", "a")).union(naming).distinct()
+    over = both.join(found.hint("merge"), both.b == found.record_id).select("a", F.lit(2).alias("far"), "anchor")
+    alone = both.select("a", F.lit(3).alias("far"), F.least("a", "b").alias("anchor")).union(lost.select("record_id", F.lit(4), "record_id"))
+    rest = over.union(alone).groupBy(F.col("a").alias("record_id")).agg(F.min(F.struct("far", "anchor"))["anchor"].alias("anchor"))
+    return found.union(lost.join(rest.hint("merge"), "record_id"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -217,9 +229,12 @@ def assemble(records: DataFrame) -> DataFrame:
     repeat an identifier count once; an empty table gives an empty one.
     """
     records = records.where("record_id is not null")
+    is_main = F.coalesce(F.col("type").isin("response", "revisit"), F.lit(False))
+    main, other = records.where(is_main), records.where(~is_main)
     names = [c for c in records.columns if c not in ("concurrent_to", "fields")]
     whole: Column = F.struct(*names, F.array_join("concurrent_to", " ").alias("concurrent_to"), F.array_sort(F.map_entries("fields")).alias("fields"))
-    placed = records.join(_anchors(records), "record_id").withColumn("whole", whole)
+    columns = ["type", whole.alias("whole")]
+    placed = main.select(F.col("record_id").alias("anchor"), *columns).union(other.join(_anchors(main, other).hint("merge"), "record_id").select("anchor", *columns))
     kind = F.col("type")
     return placed.groupBy(F.col("anchor").alias("capture_id")).agg(
         F.min(F.when(kind.isin("response", "revisit"), F.col("whole"))).alias("response"),
@@ -231,16 +246,19 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write archives, read them back, assemble captures: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``.
 
-    A capture is told by page id, address and payload: rows that repeat all three are one capture and give one
-    row.  A null payload is empty.  A null id is kept, and never referred to.  Extra columns are not read.
+    One row for every row of ``pages``, repeated ones included.  A null payload is empty.  A null id is kept, and never referred
+    to.  Extra columns are not read; an empty table gives an empty one.  Without a ``folder`` the archives are deleted once their
+    records are stored.
     """
     spark: SparkSession = pages.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    manifest = write_archives(pages, folder, id_col, url_col, html_col, least_bytes)
-    records = cut(read_archives(manifest, folder, with_payload=False).drop("payload"))
+    at = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    manifest = write_archives(pages, at, id_col, url_col, html_col, least_bytes)
+    records = cut(read_archives(manifest, at, with_payload=False).drop("payload"))
+    if folder is None:
+        remove(spark, at)
     page = F.element_at(F.map_from_entries(F.element_at("metadata", 1)["fields"]), "page-id").cast("long")
-    found = cut(assemble(records).select("capture_id", page.alias("page_id"), F.col("response.target_uri").alias("url"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("r")))
+    found = cut(assemble(records).select(page.alias("page_id"), F.col("response.target_uri").alias("url"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type")))
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type"]
-    first = found.where("record_type = 'response'").select(F.col("capture_id").alias("c"), F.col("page_id").alias("refers_to"))
-    again = found.where("record_type = 'revisit'")
-    return found.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(again.join(first, again.r == first.c, "left").select(*columns, "refers_to"))
+    first = found.where("record_type = 'response' and page_id is not null").groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"))
+    again = found.where("record_type = 'revisit'").join(first.hint("merge"), "payload_digest", "left")
+    return found.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(again.select(*columns, "refers_to"))

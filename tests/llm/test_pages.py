@@ -32,11 +32,20 @@ def test_round_trip(pages, least):
     got = Counter(tuple(r) for r in warc.round_trip(pages, least_bytes=least).drop("url").collect())
     want = Counter()
     first = {}
-    for r in sorted({(r["page_id"], r["url"], r["html"]) for r in pages.collect()}, key=lambda r: (r[0] is None, r[0])):
+    for r in sorted(((r["page_id"], r["url"], r["html"]) for r in pages.collect()), key=lambda r: (r[0] is None, r[0])):
         data = (r[2] or "").encode()
-        again = len(data) >= least and data in first
+        again = len(data) >= least and data in first and first[data] != r[0]  # a row a page, repeated ones too
         want[(r[0], len(data), digest(data), "revisit" if again else "response", first[data] if again else None)] += 1
         first.setdefault(data, r[0])
+    assert got == want and sum(got.values()) == pages.count()
+
+
+def test_every_repeat_is_a_capture(spark):
+    rows = [(i % 3 or None, "http://a" if i % 2 else "http://b", "<p>x</p>" * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    # Both payloads are met first on page 1.
+    want = Counter((p, u, "response" if p == 1 else "revisit", None if p == 1 else 1) for p, u, _ in rows)
     assert got == want
 
 
