@@ -3,9 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm_score, packing
+from plumbline.llm import decontaminate, lm_score, packing, substrings
 from plumbline.llm.queries import tokenizer_path
 
 
@@ -95,3 +97,45 @@ def test_targets_hold_with_many_sources(spark, max_queues):
         held[p["sequence_id"], p["source"]] += p["length"]
     for k in range(2):  # before a source runs dry
         assert abs(held[k, "s0"] - 512) <= 64 and abs(held[k, "s1"] - 256) <= 64
+
+
+def _prose(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+
+def test_collisions_remove_nothing(spark):
+    """Hashes of six bits collide all the time; words decide."""
+    rng = np.random.default_rng(2)
+    shared = _prose(rng, 50)
+    rows = [(i, _prose(rng, 120) + (" " + shared if i % 5 == 0 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = substrings._spans(substrings._found(docs, 35, 11, 6, "doc_id", "text", 4, None).where("marked"))
+    assert met.count() == 40  # candidates everywhere
+    got = {r["doc_id"]: (r["n_words_removed"], r["text"]) for r in substrings.remove_repeats(docs, bits=6).collect()}
+    assert got == {i: (50, t.removesuffix(" " + shared)) if i % 5 == 0 else (0, t) for i, t in rows}
+
+
+def test_rows_of_one_key_stay_linear(spark):
+    """Rows that all have no id and one text: their spans are a set, not a list a row."""
+    text = _prose(np.random.default_rng(3), 60)
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    spans = substrings.repeated_spans(docs).collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) <= 60
+    got = substrings.remove_repeats(docs).groupBy("n_words_before", "n_words_removed", "text").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, "", 10_000)]
+
+
+def test_one_held_key_after_another():
+    """Rows of a key are searched together, however batches cut them."""
+    rng = np.random.default_rng(4)
+    split = [[b"w%d" % x for x in rng.integers(0, 7, 80)] for _ in range(30)]
+    rows = substrings.window_rows(split, np.arange(30), np.arange(30), 4, 2)
+    rows = pa.table(rows).sort_by("key").combine_chunks()
+    whole = [x for b in substrings._search(rows.to_batches()) for x in b.to_pylist()]
+    old, substrings.HELD_ROWS = substrings.HELD_ROWS, 7
+    try:
+        cut = [x for b in substrings._search(rows.to_batches(max_chunksize=3)) for x in b.to_pylist()]
+    finally:
+        substrings.HELD_ROWS = old
+    places = lambda found: Counter((x["k_id"], x["at"] + i) for x in found if x["marked"] for i in range(x["n"]))
+    assert places(whole) == places(cut) and len(places(whole)) > 100
