@@ -24,9 +24,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that start anywhere else are cut out; a document of which nothing is left goes."""
-    cleaned = substrings.remove_repeats(docs)
-    changed = F.col("n_words_removed") > 0
-    left = cleaned.where(~changed | (F.col("n_words_removed") < F.col("n_words_before")))
+    before, removed, digest = ("_" * 24 + x for x in ("before", "removed", "digest"))  # names of no other column
+    cleaned = substrings.remove_repeats(docs, names=(before, removed, digest))
+    changed = F.col(removed) > 0
+    left = cleaned.where(~changed | (F.col(removed) < F.col(before)))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
