@@ -26,9 +26,9 @@ SIMILARITY = 0.8
 RECALL = 0.98
 SAMPLES = 3
 MAX_REPEATS = 96
-BLOCK_BYTES = 32 << 20
+#: Text of the items that are sent to the tasks at a time.  What is built of it takes some ten times as much.
+BLOCK_BYTES = 8 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_CLASSES = 256
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,16 +49,24 @@ def edit_distances(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
     return row[np.arange(len(row)), end], end
 
 
+def _odds(seed: int, rep: int, n: int) -> np.ndarray:
+    """A mixed odd number for each step of a repetition."""
+    x = np.uint64((seed * 0x9E3779B97F4A7C15 + rep * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF) + np.arange(n, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(2)).view(np.int64) | 1
+
+
 class Walks:
-    """Repetitions for items of one length: bits of the walk, and the sampled places.
+    """Repetitions for items of one length: the seed that the walk's bits are hashed with, and the sampled places.
 
-    Every other repetition walks backwards from the window's end, so that edits at one end spoil half of them only.
+    Whether a step moves on is a bit of a hash of repetition, step and word; nothing is kept of it.  Every other repetition walks backwards from the window's end, so that edits at one end spoil half of them only.
     Places are sampled from the first n steps, on which a walk reads about half of the window.
     """
 
     def __init__(self, n: int, repeats: int, samples: int, rng: np.random.Generator):
         self.n, samples = n, min(samples, n)
-        self.bits = rng.integers(0, 2, (repeats, n, _CLASSES), dtype=np.uint8)
+        self.seed = int(rng.integers(1 << 62))
         self.places = [sorted(rng.choice(n, samples, replace=False).tolist()) for _ in range(repeats)]
         self.salt = rng.integers(1, 1 << 62, samples, dtype=np.int64) * 2 + 1
 
@@ -67,13 +75,13 @@ class Walks:
         that items have after each place, a window is dropped at the first place where no item has its hash."""
         own, key, out = np.arange(len(starts)), np.zeros(len(starts), np.int64), []
         first, turn = (starts + self.n - 1, -1) if rep % 2 else (starts, 1)
-        off, step = np.zeros(len(starts), np.int64), 0
+        off, step, odds = np.zeros(len(starts), np.int64), 0, _odds(self.seed, rep, self.n)
         for k, place in enumerate(self.places[rep]):
             while True:
                 word = np.where(off < self.n, words[first + turn * np.minimum(off, self.n - 1)], -1)
                 if step == place:
                     break
-                off += self.bits[rep, step, word % _CLASSES]
+                off += ((word + 2) * odds[step]) >> 43 & 1
                 step += 1
             key = key * self.salt[k] + (word + 2) * self.salt[-1 - k]
             key ^= (key >> 29) & 0x7FFFFFFFF
@@ -134,7 +142,7 @@ class Benchmark:
         self.classes = []
         for n, own in sorted(by_length.items()):
             rng = np.random.default_rng((seed, n))
-            words = np.array([x for _, x in own], np.int64)
+            words = np.array([x for _, x in own], np.int64)  # ids, of which the walks take hashes
             most = int((1 - similarity) * n + 1e-9)
             repeats = self._repeats(words, most, recall, samples, max_repeats + 1, rng)
             if repeats > max_repeats and most < n:
@@ -145,11 +153,9 @@ class Benchmark:
             for rep in range(len(walks.places)):
                 _, after = walks.keys(rep, words.ravel(), np.arange(len(own)) * n)
                 order = np.argsort(after[-1], kind="stable")
-                tables.append((after[-1][order], order, [np.unique(x) for x in after]))
+                tables.append((after[-1][order], order.astype(np.int32), [np.unique(x) for x in after]))
             self.classes.append((n, most, [i for i, _ in own], words, walks, tables))
-        self.member = np.zeros((len(self.classes), len(self.vocabulary) + 1), np.uint8)
-        for c, own in enumerate(self.classes):
-            self.member[c, own[3].ravel()] = 1
+        self.members = [np.unique(own[3]).astype(np.int32) for own in self.classes]
         self.margin = max((c[1] for c in self.classes), default=0)
 
     @staticmethod
@@ -157,18 +163,17 @@ class Benchmark:
         """Repetitions after which a copy with the most edits allowed is met with probability ``recall``."""
         if not most:
             return 1
-        trial, n, hits, tries = Walks(words.shape[1], 16, samples, rng), words.shape[1], 0, 0
+        trial, n, pairs = Walks(words.shape[1], 16, samples, rng), words.shape[1], []
         for _ in range(24):
             item = words[rng.integers(len(words))].tolist()
             copy = item.copy()
             for _ in range(most):
                 at, kind = int(rng.integers(max(1, len(copy)))), int(rng.integers(3))
                 copy[at : at + (kind < 2)] = [int(rng.integers(1 << 30, 1 << 31))] * (kind != 1)
-            both = np.array(item + (copy + [0] * n)[:n], np.int64)
-            for rep in range(16):
-                a, b = trial.keys(rep, both, np.array([0, n]))[1][-1]
-                hits, tries = hits + (a == b), tries + 1
-        p = max(hits / tries, 1e-3)
+            pairs += [item, (copy + [0] * n)[:n]]
+        both, starts = np.array(pairs, np.int64).ravel(), np.arange(len(pairs)) * n
+        met = [trial.keys(rep, both, starts)[1][-1].reshape(-1, 2) for rep in range(16)]
+        p = max(float(np.mean([x[:, 0] == x[:, 1] for x in met])), 1e-3)
         return int(min(max_repeats, max(4, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))))))
 
     def matches(self, texts: list[bytes]) -> list[list[tuple[object, int, int, int]]]:
@@ -181,6 +186,7 @@ class Benchmark:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         known = np.zeros(len(words) + 1, np.int32)
+        member = np.zeros(len(self.vocabulary) + 1, np.uint8)
         found: dict[tuple[int, int, int], tuple[int, int]] = {}
         for c, (n, most, _, items, walks, tables) in enumerate(self.classes):
             if tables is None:
@@ -189,7 +195,9 @@ class Benchmark:
             if len(words) < n:
                 continue
             # Within the allowed edits a window holds at least that many words of the items of this length.
-            np.cumsum(self.member[c][words], out=known[1:])
+            member[self.members[c]] = 1
+            np.cumsum(member[words], out=known[1:])
+            member[self.members[c]] = 0
             at = np.flatnonzero(known[n:] - known[:-n] >= n - most)
             if not len(at):
                 continue
@@ -284,7 +292,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item is found."""
+    """The rows of ``docs``, with all their columns, in which no item is found.
+
+    Rows with a null, empty or wordless text stay, as do null ids; repeated rows go or stay together; no column is added or looked
+    up but the text; an empty table of either kind leaves ``docs`` as it is.  Texts are searched whole.
+    """
     for bench in benchmarks(items, **options):
         told = docs.sparkSession.sparkContext.broadcast(bench)
 

@@ -40,7 +40,7 @@ _BLOCK = 1 << 14
 SLICE_WORDS, _CHUNK_WORDS = 2_000_000, 1 << 17
 #: Slices of the word hash in which counts and words meet: so many at least, and about so many distinct words in each; those
 #: that more words reach are read by several tasks.
-_SLICES, _SLICE_DISTINCT, _SLICE_READ = 16, 1 << 20, 64_000_000
+_SLICES, _SLICE_DISTINCT, _SLICE_READ = 16, 1 << 20, 8_000_000
 _FAN, _MOST_TASKS = 64, 100_000
 
 

@@ -1,5 +1,6 @@
 """The whole job where a bound once cut it: rare words, all positions, long items, many sources."""
 
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -86,6 +87,31 @@ def test_long_items_are_found_at_the_limit(n):
     assert found[-2] == [(0, 0, n, n)] and not found[0] and not found[-1]
 
 
+@pytest.mark.parametrize("n", [15, 40, 100, 200, 300, 400])
+def test_recall_by_length(n):
+    """Copies with as many edits as are allowed are found, at every length of the sampled search and beyond it."""
+    rng = np.random.default_rng(n)
+    items = [(i, b" ".join(b"w%d" % x for x in rng.integers(0, 5000, n))) for i in range(20)]
+    bench, texts = decontaminate.Benchmark(items), []
+    for _, text in items * 5:
+        w = text.split()
+        for _ in range(int(0.2 * n)):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w[at : at + (kind < 2)] = [b"zz%d" % rng.integers(1000)] * (kind != 1)
+        texts.append(b" ".join([b"w%d" % x for x in rng.integers(0, 5000, 30)] + w))
+    found = bench.matches(texts)
+    assert np.mean([i in {x[0] for x in own} for (i, _), own in zip(items * 5, found, strict=True)]) >= 0.95
+
+
+def test_index_is_bounded_by_the_items():
+    rng = np.random.default_rng(8)
+    items, size, lengths = [], 0, [*range(15, 60), *range(60, 420, 30)]
+    while size < 1 << 20:
+        items.append((len(items), b" ".join(b"w%d" % x for x in rng.integers(0, 20_000, int(rng.choice(lengths))))))
+        size += len(items[-1][1])
+    assert len(pickle.dumps(decontaminate.Benchmark(items))) < 50 << 20
+
+
 @pytest.mark.parametrize("max_queues", [1, 4])
 def test_targets_hold_with_many_sources(spark, max_queues):
     rows = [(i, f"s{i % 12}", "the river and the stone " * 30) for i in range(240)] + [(240, None, "no source")]
