@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -161,21 +162,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def finer(ones: np.ndarray, n: int, radius: int) -> list[int]:
+    """``radius + 1`` masks, of blocks of the bits in which ``n`` fingerprints vary (``ones`` counts each bit), about as telling
+    as one another: of two fingerprints within the radius no more than that many blocks are touched, so one mask finds them equal."""
+    share = ones / n
+    worth = np.minimum(share, 1 - share)
+    masks, load = [0] * (radius + 1), [0.0] * (radius + 1)
+    for j in np.argsort(-worth, kind="stable").tolist():
+        if worth[j] > 0:
+            k = load.index(min(load))
+            masks[k], load[k] = masks[k] | 1 << j, load[k] + float(worth[j])
+    return masks
+
+
+def _refined(rows: DataFrame, crowded: DataFrame, radius: int) -> DataFrame:
+    """``rows(fp, key)`` of crowded keys -> rows whose keys are finer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.stack([b.column(f"b{j}").to_numpy() for j in range(BITS)], 1)
+            masks = [[_signed(m) for m in finer(own, n, radius)] for own, n in zip(counts, b.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(masks, pa.list_(pa.int64()))], ["key", "masks"])
+
+    bits = [F.sum(F.shiftrightunsigned("fp", j).bitwiseAND(F.lit(1))).alias(f"b{j}") for j in range(BITS)]
+    masks = cut(rows.join(crowded, "key").groupBy("key").agg(*bits, F.count(F.lit(1)).alias("n")).mapInArrow(run, "key long, masks array<long>"))
+    return rows.join(masks, "key").select("fp", "key", F.explode("masks").alias("mask")).select("fp", F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
 def links(fps: DataFrame, radius: int = 4, per_shard: int = 2000, hot: int = 4096) -> DataFrame:
     """``fps(fp)`` distinct -> ``(u, v)``: links whose components equal those of all pairs within ``radius``.
 
-    Sharding by blocks of bits is lossless (pigeonhole).  A shard over ``hot`` rows is cut into blocks by
-    hash and each pair of blocks is searched by a task of its own, so that no task holds more than two
-    blocks of a shard.  A task emits at most one link per row, never all pairs.
+    Sharding by blocks of bits is lossless (pigeonhole).  A shard over ``hot`` fingerprints is cut by blocks of the bits in which its
+    own vary, again while that leaves a large one: every level takes a fifth of those bits (at radius 4) for five rows a
+    fingerprint, so a dense cloud of near copies is not searched all against all.  A task emits at most one link per row.
     """
-    masks = _scheme(fps.count(), radius, per_shard)
-    rows = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("key"))
-    crowded = cut(rows.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("k")))
-    if not crowded.isEmpty():
-        rows = rows.join(crowded, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("k"))
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("k") - 1).cast("long"))))
-        rows = rows.select("fp", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"))
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in _scheme(fps.count(), radius, per_shard)])
+    rows = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    parts = []
+    while True:
+        crowded = cut(rows.groupBy("key").count().where(F.col("count") > hot).select("key"))
+        if crowded.isEmpty():
+            parts.append(rows)
+            break
+        parts.append(rows.join(crowded, "key", "left_anti").select("fp", "key"))
+        rows = cut(_refined(rows, crowded, radius))
+    rows = reduce(DataFrame.union, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, most = [], 0, 300_000
@@ -199,16 +230,22 @@ def links(fps: DataFrame, radius: int = 4, per_shard: int = 2000, hot: int = 409
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def _classes(prints: DataFrame, radius: int) -> DataFrame:
+def _classes(prints: DataFrame, radius: int, hot: int = 1000) -> DataFrame:
     """``prints(fp, ident)`` -> ``(fp_, least)``: the least ``ident`` of each fingerprint's component."""
     nodes = prints.groupBy("fp").agg(F.min("ident").alias("least"))
-    edges = links(nodes.select("fp"), radius)
-    near = components(edges).select(F.col("u").alias("fp"), F.col("v").alias("top"))
-    owned = cut(nodes.join(near, "fp", "left").select("fp", "least", F.coalesce("top", "fp").alias("top")))
-    # Only components of several fingerprints need their least member looked up.
-    several = near.select("top").distinct()
-    found = owned.join(several, "top").groupBy("top").agg(F.min("least").alias("of_all"))
-    return owned.join(found, "top", "left").select(F.col("fp").alias("fp_"), F.coalesce("of_all", "least").alias("least"))
+    near = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("top"))
+    # Identifiers meet by component in partial sums first, so that a component's size weighs on no task.
+    gathered = near.join(nodes.hint("merge"), "fp").groupBy("top").agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("n"))
+    tops = nodes.select(F.col("fp").alias("top"), F.col("least").alias("own"))
+    found = cut(gathered.join(tops.hint("merge"), "top").select("top", F.least("own", "m").alias("of_all"), "n"))
+    # Components of over ``limit`` fingerprints are at most 10,000; the rest have few rows each.
+    limit = max(hot, near.count() // 10_000)
+    large = F.broadcast(found.where(F.col("n") > limit).select("top", F.col("of_all").alias("of_large")))
+    small = found.where(F.col("n") <= limit).select("top", "of_all").hint("merge")
+    known = near.join(large, "top", "left")
+    moved = known.where("of_large is not null").select("fp", F.col("of_large").alias("of_all"))
+    moved = moved.union(known.where("of_large is null").join(small, "top").select("fp", "of_all")).union(found.select("top", "of_all"))
+    return nodes.join(moved.hint("merge"), "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("of_all", "least").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -226,7 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each component: the one of the smallest id
-    stays (a null id counts as larger than any).  Of rows that repeat an id and text, one stays."""
+    stays (a null id counts as larger than any).  Of rows that repeat an id and text, one stays.  Null and empty texts are near copies
+    of one another; an empty table gives an empty one."""
     k_id, k_text = doc_key(id_col, text_col)
     keyed = docs.withColumns({"_k_null": F.col(id_col).isNull(), "_k_id": k_id, "_k_text": k_text})
 
