@@ -1,16 +1,19 @@
 """Histogram sort: splitters found by counting, then one exchange.
 
 A key is a few 64-bit integers, compared in order.  The driver probes candidate boundaries; each round one pass
-over the narrow key table sums the exact bytes between probes (partial sums in every partition, one row a
-probe interval to the driver), and the interval around each wanted split narrows until it is met within the
+over the narrow key table sums the exact bytes between probes (every partition looks its keys up in the sorted probes, and
+sends partial sums), and the interval around each wanted split narrows until it is met within the
 tolerance.  Where all candidates inside an interval share the leading integer, the next one is probed.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
@@ -18,31 +21,42 @@ from plumbline.llm.common import cut
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def _at_least(keys: list[str], bound: tuple[int, ...]) -> Column:
-    """Whether the row's key is at least ``bound`` in lexical order; a bound may name the leading keys only."""
-    out = F.col(keys[len(bound) - 1]) >= F.lit(bound[-1])
-    for k, v in zip(reversed(keys[: len(bound) - 1]), reversed(bound[:-1]), strict=True):
-        out = (F.col(k) > F.lit(v)) | ((F.col(k) == F.lit(v)) & out)
-    return out
-
-
-def _bucket(keys: list[str], bounds: list[tuple[int, ...]]) -> Column:
-    """How many of the ascending ``bounds`` the row's key reaches: a binary search spelt as nested conditions."""
-    if not bounds:
-        return F.lit(0)
+class Bounds:
+    """Ascending candidate boundaries; one that names the leading integers only stands for the smallest key that begins so."""
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_at_least(keys, bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+    def __init__(self, bounds: list[tuple[int, ...]], width: int):
+        self.parts = np.array([(*b, *[LOW] * (width - len(b))) for b in bounds], np.int64).reshape(len(bounds), width)
 
-    return search(0, len(bounds))
+    def reached(self, key: list[np.ndarray]) -> np.ndarray:
+        """How many bounds each key is at least: one binary search for all keys."""
+        lo, hi = np.zeros(len(key[0]), np.int64), np.full(len(key[0]), len(self.parts))
+        for _ in range(len(self.parts).bit_length()):
+            open_ = lo < hi
+            mid = np.minimum((lo + hi) // 2, max(len(self.parts) - 1, 0))
+            at_least = np.ones(len(lo), bool)
+            for own, bound in zip(reversed(key), reversed(self.parts.T), strict=True):
+                bound = bound[mid]
+                at_least = (own > bound) | ((own == bound) & at_least)
+            lo, hi = np.where(open_ & at_least, mid + 1, lo), np.where(open_ & ~at_least, mid, hi)
+        return lo
 
 
 def _counts(rows: DataFrame, keys: list[str], weight: str, bounds: list[tuple[int, ...]]) -> list[tuple[int, int]]:
-    """Exact weight and number of the rows below each bound."""
-    found = {r["b"]: (r["w"], r["n"]) for r in rows.groupBy(_bucket(keys, bounds).alias("b")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).collect()}
+    """Exact weight and number of the rows below each bound.  Partitions send sums by interval."""
+    told = rows.sparkSession.sparkContext.broadcast(Bounds(bounds, len(keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(told.value.parts) + 1
+        sums, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for b in batches:
+            at = told.value.reached([b.column(k).to_numpy() for k in keys])
+            np.add.at(sums, at, b.column(weight).to_numpy())
+            counts += np.bincount(at, minlength=n)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(sums[met]), pa.array(counts[met])], ["b", "w", "n"])
+
+    partial = rows.select(*dict.fromkeys([*keys, weight])).mapInArrow(run, "b long, w long, n long")
+    found = {r["b"]: (r["w"], r["n"]) for r in partial.groupBy("b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()}  # a row an interval
     total, count, out = 0, 0, []
     for i in range(len(bounds)):
         w, n = found.get(i, (0, 0))
@@ -119,8 +133,9 @@ def shard(
     Law ``bytes`` makes the shards' sizes near equal, law ``rows`` their row counts; a row's size is its text's
     UTF-8 bytes plus one.  Equal texts stand together, and are parted only where a split falls inside their group.
     The key ends with a stored row number, so that not even a third of all rows with one id and text is
-    indivisible.  Null texts are empty, a null id sorts first, extra columns are not read, and an empty table
-    gives an empty one.  Shards are cut into more ranges than there are shards, so that work grows with the rows.
+    indivisible.  Null texts are empty, a null id sorts first, repeated rows have places of their own, extra columns are not read, and
+    an empty table gives an empty one.  The one exchange deals rows to ranges inside the shards, about ``rows_per_task`` in each;
+    a range's places begin where those before it in the shard end.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(law)
@@ -135,24 +150,27 @@ def shard(
     rows = cut(rows.withColumns({"i": F.coalesce("doc_id", F.lit(LOW)), "one": F.lit(1).cast("long")}))
     keys, weight = ["h", "i", "n"], "size" if law == "bytes" else "one"
     count = rows.count()
-    per = max(4, -(-count // (shards * rows_per_task)))
-    if law == "rows":
-        tolerance = 0.0
-    bounds, _, _ = splitters(rows, keys, weight, shards, tolerance)
-    # Ranges inside the shards need not be exact; they only spread the work.
-    inner, _, _ = splitters(rows, keys, weight, shards * per, 0.2)
-    marks = sorted([(b, 1) for b in bounds] + [(b, 0) for b in inner])
-    ranges = rows.withColumn("range", _bucket(keys, [b for b, _ in marks]))
-    held = {r["range"]: r["count"] for r in ranges.groupBy("range").count().collect()}
-    of, base, at, filled = [], [], 0, 0
-    for i in range(len(marks) + 1):
-        if i and marks[i - 1][1]:
-            at, filled = at + 1, 0
-        of.append(at)
-        base.append(filled)
-        filled += held.get(i, 0)
-    look = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("range") + 1)
-    order = Window.partitionBy("range").orderBy(*keys)
-    return ranges.withColumn("place", F.row_number().over(order)).select(
-        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), look(of, "int").alias("shard"), (look(base, "long") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    bounds, _, _ = splitters(rows, keys, weight, shards, 0.0 if law == "rows" else tolerance)
+    told = docs.sparkSession.sparkContext.broadcast(Bounds(bounds, len(keys)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = told.value.reached([b.column(k).to_numpy() for k in keys])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "shard"])
+
+    order = ["shard", *keys]
+    narrow = ["doc_id", "size", "text_crc32", *keys]
+    ranges = rows.select(*narrow).mapInArrow(placed, "doc_id long, size long, text_crc32 long, h long, i long, n long, shard int")
+    ranges = cut(ranges.repartitionByRange(max(shards, -(-count // rows_per_task)), *order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "shard"))
+    # Stored rows keep their partition and place in it, which this id names.
+    ranges = ranges.withColumn("id", F.monotonically_increasing_id())
+    ranges = ranges.select("doc_id", "size", "text_crc32", "shard", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    held = ranges.groupBy("range", "shard").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("range", "shard").collect()  # at most ranges + shards rows
+    filled, starts = [0] * shards, []
+    for r in held:
+        starts.append((r["range"], r["shard"], filled[r["shard"]] - r["first"]))
+        filled[r["shard"]] += r["n"]
+    table = docs.sparkSession.createDataFrame(starts, "range long, shard int, start long")
+    return ranges.join(F.broadcast(table), ["range", "shard"]).select(
+        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm_score, packing, substrings
+from plumbline.llm import decontaminate, lm_score, packing, sharding, simhash, substrings
 from plumbline.llm.queries import tokenizer_path
 
 
@@ -165,3 +165,73 @@ def test_one_held_key_after_another():
         substrings.HELD_ROWS = old
     places = lambda found: Counter((x["k_id"], x["at"] + i) for x in found if x["marked"] for i in range(x["n"]))
     assert places(whole) == places(cut) and len(places(whole)) > 100
+
+
+# --- fingerprints and shards: many rows of one kind ------------------------------------------------------------------
+
+
+def test_a_dense_cloud_of_fingerprints(spark):
+    """Shards over the limit are cut finer, down to few bits; no link is lost."""
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(1 << 62))
+    cloud = {base ^ sum(1 << int(j) for j in rng.choice(20, int(rng.integers(0, 7)), replace=False)) for _ in range(900)}
+    far = {int(x) for x in rng.integers(0, 1 << 62, 100)}
+    fps = np.array(sorted(cloud | far), np.int64)
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), hot=64).collect()
+    assert len(found) < 125 * len(fps)
+    want, got = np.arange(len(fps)), np.arange(len(fps))
+    near = np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)) <= 4
+    a, b = np.nonzero(near)
+    where = {int(x): i for i, x in enumerate(fps)}
+    want = simhash._union(want, a, b)
+    got = simhash._union(got, np.array([where[r["u"]] for r in found]), np.array([where[r["v"]] for r in found]))
+    assert (want == got).all() and len(set(want.tolist())) > 50
+
+
+def test_finer_masks_lose_nothing():
+    rng = np.random.default_rng(10)
+    for _ in range(50):
+        vary = rng.choice(64, int(rng.integers(6, 30)), replace=False)
+        fps = [sum(1 << int(j) for j in vary if rng.random() < 0.4) for _ in range(60)]
+        ones = np.array([sum(x >> j & 1 for x in fps) for j in range(64)])
+        masks = simhash.finer(ones, 60, 4)
+        assert len(masks) == 5 and all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+        assert all(any((x ^ y) & m == 0 for m in masks) for x in fps for y in fps if (x ^ y).bit_count() <= 4)
+
+
+def test_component_of_many_fingerprints(spark):
+    """A large component's least id reaches all its fingerprints, by either way."""
+    bits = [sum(1 << (4 * j + k) for j in range(i)) for i in range(12) for k in range(4)]
+    docs = spark.createDataFrame([(100 + i, b) for i, b in enumerate(bits)] + [(7, bits[-1]), (None, bits[0])], "ident long, fp long")
+    for hot in (3, 1000):
+        found = {r["fp_"]: r["least"] for r in simhash._classes(docs, 4, hot).collect()}
+        assert set(found) == set(bits) and set(found.values()) == {7}
+
+
+def test_bounds_by_brute_force():
+    rng = np.random.default_rng(11)
+    bounds = sorted({(int(rng.integers(-5, 5)), *(int(x) for x in rng.integers(-5, 5, int(rng.integers(0, 3))))) for _ in range(300)}, key=lambda b: (*b, *[sharding.LOW] * (3 - len(b))))
+    keys = rng.integers(-6, 6, (500, 3))
+    got = sharding.Bounds(bounds, 3).reached(list(keys.T))
+    assert got.tolist() == [sum((*b, *[sharding.LOW] * (3 - len(b))) <= tuple(k) for b in bounds) for k in keys.tolist()]
+    assert sharding.Bounds([], 3).reached(list(keys.T)).tolist() == [0] * 500
+
+
+def test_many_shards(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7_000).alias("text"))
+    got = sharding.shard(rows, 1000, "rows", rows_per_task=1500).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+    assert len(got) == 20_000 and set(map(len, by.values())) == {20} and all(sorted(r["slot"] for r in x) == list(range(20)) for x in by.values())
+
+
+def test_equal_texts_stand_together(docs, rows):
+    got = sharding.shard(docs, 4, "bytes", tolerance=0.01).collect()
+    sizes, of = Counter(), {}
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        of.setdefault(r["text_crc32"], set()).add(r["shard"])
+    largest = max(r["size"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest
+    assert sum(len(x) - 1 for x in of.values()) <= 3  # a group is parted by a split only
