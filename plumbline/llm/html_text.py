@@ -26,15 +26,12 @@ OPEN, CONTENT, OUT = 0, 1, 2
 #: Pages written for training; a documented bound of what the model is fitted on.
 TRAINING_PAGES = 500
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|math|iframe|object|textarea|select|button|audio|video|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"=\s*[\"']|>")
+#: Elements whose contents are no text of the page: code, a window's title, the insides of form controls.
+_SKIPPED = {"script", "style", "title", "textarea", "select", "button"}
+#: Elements that stand for others where those can't be shown: nodes of their own, but part of the line inside a paragraph.
+_STAND_INS = {"noscript", "object", "iframe", "template", "canvas", "audio", "video"}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -47,6 +44,74 @@ _KINDS = ["p", "li", "ul ol dl menu", "h1", "h2 h3 h4 h5 h6", "div", "article ma
 _KIND = {t: i for i, ts in enumerate(_KINDS) for t in ts.split()}
 
 
+def markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The markup of a page, in one pass: (begin, end, tag or "" for what is none, whether it closes, attributes); text is what
+    lies between.  A skipped element is one piece, from its tag to its end.
+
+    Quotes that follow ``=`` may hold ``>``.  A quote that is never closed counts for nothing; and once the quotes of a tag leave
+    it without an end, they count for nothing in the rest of the page.  So no place is searched twice for the same thing.
+    """
+    size, at, quoting = len(source), 0, True
+    never: set[str] = set()  # what does not occur from here on
+
+    def find(what: str, start: int) -> int:
+        if what in never:
+            return -1
+        found = source.find(what, start)
+        if found < 0:
+            never.add(what)
+        return found
+
+    def end_of(start: int) -> int:
+        """Where the ``>`` of a tag stands, or -1."""
+        nonlocal quoting
+        here = start
+        while quoting and (edge := _EDGE.search(source, here)):
+            if edge[0] == ">":
+                return edge.start()
+            closed = find(edge[0][-1], edge.end())
+            here = edge.end() if closed < 0 else closed + 1
+        quoting = False
+        return find(">", start)
+
+    while (begin := find("<", at)) >= 0:
+        if source.startswith("<!--", begin):
+            end = find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+            yield begin, at, "", False, ""
+        elif source.startswith(("<!", "<?"), begin):
+            end = find(">", begin)
+            at = size if end < 0 else end + 1
+            yield begin, at, "", False, ""
+        elif name := _NAME.match(source, begin):
+            end = end_of(name.end())
+            if end < 0:
+                at = name.end()
+                if find("<", at) < 0:  # an unfinished tag at the end
+                    yield begin, size, "", False, ""
+                    at = size
+                continue
+            tag, closing, at = name[1].lower(), source[begin + 1] == "/", end + 1
+            attributes = source[name.end() : end]
+            if tag in _SKIPPED and not closing and not attributes.endswith("/"):
+                last = None if f"</{tag}" in never else _CLOSERS[tag].search(source, at)
+                if last is None:
+                    never.add(f"</{tag}")
+                at = size if last is None else last.end()
+            yield begin, at, tag, closing, attributes
+        else:
+            at = begin + 1
+
+
+_CLOSERS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _SKIPPED}
+
+
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1])
+
+
 class Dom:
     """Block nodes of several pages, as parallel lists; text runs in page order with the node that holds them."""
 
@@ -60,9 +125,9 @@ class Dom:
         page, first = self.pages, len(self.tag)
         self.pages += 1
         self._node("#page", "", -1, 0, page)
-        stack, names = [first], ["#page"]
+        stack, names, opened = [first], ["#page"], Counter()
         parts: list[str] = []
-        linked, in_link, hidden, last = 0, 0, 0, 0
+        linked, in_link, last = 0, 0, 0
 
         def flush():
             nonlocal linked
@@ -75,63 +140,65 @@ class Dom:
 
         def say(raw: str):
             nonlocal linked
-            if not hidden and raw:
+            if raw and not opened["head"]:
                 text = html.unescape(raw) if "&" in raw else raw
                 parts.append(text)
                 if in_link:
                     linked += len(text)
 
-        for m in _TOKEN.finditer(source):
-            say(source[last : m.start()])
-            last = m.end()
-            tag = m[3] or m[6]
-            if tag is None:
-                if m[1]:
-                    parts.append(" ")
-                    if m[1].lower() in ("button", "textarea", "select"):
-                        self.inputs[stack[-1]] += 1
+        def leave(tag: str):
+            """Close the innermost element of the name, and all inside it."""
+            while True:
+                own = names.pop()
+                stack.pop()
+                opened[own] -= 1
+                if own == tag:
+                    return
+
+        for begin, end, tag, closing, attributes in markup(source):
+            say(source[last:begin])
+            last = end
+            if not tag:
                 continue
-            tag, closing = tag.lower(), m[2] or m[5]
-            if tag in _VOID:
+            if tag in _SKIPPED:
+                parts.append(" ")
+                if not closing and tag in ("button", "textarea", "select"):
+                    self.inputs[stack[-1]] += 1
+            elif tag in _VOID:
                 parts.append(" ")
                 if tag == "hr":
                     flush()
                 elif tag == "input":
                     self.inputs[stack[-1]] += 1
-            elif tag in _BLOCK:
+            elif tag in _BLOCK or tag in _STAND_INS and (opened[tag] if closing else not opened["p"]):
                 flush()
                 if closing:
-                    if tag in names:
-                        k = len(names) - 1 - names[::-1].index(tag)
-                        del names[k:], stack[k:]
+                    if opened[tag]:
+                        leave(tag)
                         in_link = 0
-                        hidden = int("head" in names)
                     continue
                 if tag in ("html", "body"):
-                    if tag == "body" and "head" in names:
-                        k = names.index("head")
-                        del names[k:], stack[k:]
-                        hidden = 0
-                    if tag in names:
+                    if tag == "body" and opened["head"]:
+                        leave("head")
+                    if opened[tag]:
                         continue
-                if "p" in names and tag not in ("head",):
-                    k = len(names) - 1 - names[::-1].index("p")
-                    del names[k:], stack[k:]
-                closes = _CLOSES.get(tag)
-                if closes:
-                    for k in range(len(names) - 1, 0, -1):
-                        if names[k] in closes[1]:
+                if opened["p"] and tag != "head":
+                    leave("p")
+                same, around = _CLOSES.get(tag, ((), ()))
+                if any(opened[t] for t in same):
+                    for name in reversed(names):
+                        if name in around:
                             break
-                        if names[k] in closes[0]:
-                            del names[k:], stack[k:]
+                        if name in same:
+                            leave(name)
                             break
-                if hidden and tag != "head":
-                    k = names.index("head")
-                    del names[k:], stack[k:]
-                    hidden = 0
-                stack.append(self._node(tag, m[4] or m[7] or "", stack[-1], len(stack), page))
+                if opened["head"] and tag != "head":
+                    leave("head")
+                stack.append(self._node(tag, attributes, stack[-1], len(stack), page))
                 names.append(tag)
-                hidden = int(tag == "head" or hidden)
+                opened[tag] += 1
+            elif tag in _STAND_INS:
+                parts.append(" ")
             elif tag == "a":
                 in_link = 0 if closing else 1
         say(source[last:])
@@ -193,7 +260,7 @@ class Extractor:
             own[:, c] = np.bincount(run, v, n)
         own[:, 5], own[:, 6], own[:, 7], own[:, 8] = 1, kind == 1, kind == 0, dom.inputs
         whole = own.copy()
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        levels = _levels(depth)
         for at in reversed(levels[1:]):
             np.add.at(whole, parent[at], whole[at])
         up = np.maximum(parent, 0)
@@ -233,7 +300,7 @@ class Extractor:
         n = len(dom.tag)
         parent, depth = np.array(dom.parent, np.int64), np.array(dom.depth, np.int64)
         best = scores.copy()
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        levels = _levels(depth)
         for at in reversed(levels[1:]):
             b = best[at]
             inside = np.maximum(b[:, CONTENT], b[:, OUT])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -175,6 +176,39 @@ def test_broken_markup():
     assert got[6] == ["1", "2", "3"] and got[7] == ["a", "b", "c"] and got[8] == ["x"]
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a b='", '<a b=">" ', "<", "</", "<!--", "<script>", "<x y=\"", "<div>", "</div>", "<li><ul>", "<p><noscript>", "&amp"])
+def test_hostile_pages_take_linear_time(piece):
+    page = "<p>x</p>" + piece * (200_000 // len(piece))
+    began = time.perf_counter()
+    dom = html_text.Dom()
+    dom.add(page)
+    assert time.perf_counter() - began < 4 and dom.run_text[0] == "x"
+
+
+def test_deep_nesting():
+    model = html_text.extractor()
+    began = time.perf_counter()
+    model.texts(["<div>" * 20_000 + "<p>deep</p>" + "</div>" * 20_000])
+    assert time.perf_counter() - began < 20
+
+
+def test_stand_ins_are_nodes_or_part_of_the_line(spark):
+    body = "It was a bright cold day in April, and the clocks were striking thirteen; nobody in the long street looked up."
+    page = f"<article><p>Let <math><mi>x</mi></math> be. {body}</p><p>{body} <object>A <b>chart</b></object> and <noscript>a still</noscript> <svg><text>label</text></svg> end.</p><noscript><p>{body}</p></noscript></article>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_text.extract(df).first()["text"] == f"Let x be. {body}\n{body} A chart and a still label end.\n{body}"
+
+
+def test_quotes_in_tags():
+    dom = html_text.Dom()
+    for p in ["<p class='a>b' id=c>one</p>", '<p title="x>two</p>', "<p>a <b c=>d</b></p>", "<p a='1>2' b=\"3>4\">five<p", '<a b=">" <p>six</p>']:
+        dom.add(p)
+    got = {}
+    for t, p in zip(dom.run_text, dom.run_page, strict=True):
+        got.setdefault(p, []).append(t)
+    assert got == {0: ["one"], 1: ["two"], 2: ["a d"], 3: ["five"], 4: ["six"]}
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.random((600, 4))
