@@ -1,16 +1,18 @@
 """License detection by a positional index of rare words, with DataFrame functions only.
 
 One pass keeps, of each text, the words that occur in licence templates, with their positions.  How many
-documents hold each such word gives its weight (IDF over all documents).  The index then holds the rarest
-words of every template with their places in it; a text's licence words are looked up there, places that agree
-on where the template would begin are intersected, and the mandatory key phrases must stand at those places.
+documents hold each such word gives its weight (IDF over all documents).  The index is a table of postings, (word, template,
+place, weight), in which every template's rarest words are marked.  Texts with a marked word are looked up there, and
+the postings met are grouped by where the template would begin: enough of its rarest words must agree on one beginning, and
+all words of its key phrases must stand at their places.  Templates are data; the plan does not depend on them.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
@@ -53,19 +55,36 @@ def licence_words(docs: DataFrame, vocabulary: list[str], id_col: str, text_col:
     return kept.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(held, lambda x: x["w"].isin(vocabulary)).alias("held"))
 
 
-def _starts(phrase: str) -> Column:
-    """Where the phrase's words stand one after another."""
-    held = F.col("held")
-    first, *rest = phrase.split()
+#: Words too common to weigh, unless a phrase needs them.
+_COMMON = {"the", "to", "of", "a", "and", "in", "is", "this", "or", "are", "as", "for", "any", "with", "into"}
+
+
+def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few constants."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
 
-    def at(x: Column, k: Column) -> Column:
-        ok = x["w"] == first
-        for j, w in enumerate(rest, 1):
-            y = F.get(held, k + j)
-            ok = ok & F.coalesce((y["w"] == w) & (y["i"] == x["i"] + j), F.lit(False))
-        return ok
+def postings(templates: list, base: dict[str, str], idf: dict[str, float], rare: int) -> list[dict]:
+    """One row per word of a template that has a weight or belongs to a key phrase: ``w, t, place, share`` (of the template's weight),
+    whether it is among the ``rare`` rarest (``is_rare``) or in a key phrase (``is_key``), and of the template how many of
+    either must be met (``need``, ``keys``), its label, and whether it is a base phrase."""
+    out = []
+    for t, (label, text, keys) in enumerate(templates):
+        words = text.split()
+        weight = [idf.get(w, 0.0) for w in words]
+        whole = sum(weight) or 1.0
+        rarest = sorted((k for k, w in enumerate(words) if w in idf), key=lambda k: (-weight[k], k))[:rare]
+        must = set()
+        for key in keys:
+            n = len(key.split())
+            at = next(k for k in range(len(words)) if words[k : k + n] == key.split())
+            must.update(range(at, at + n))
+        common = {"t": t, "need": min(2, len(rarest)), "keys": len(must), "label": label, "is_base": base.get(text) == label}
+        out += [{"w": w, "place": k, "share": weight[k] / whole, "is_rare": k in rarest, "is_key": k in must, **common} for k, w in enumerate(words) if w in idf]
+    return out
 
-    return F.transform(F.filter(held, at), lambda x: x["i"])
+
+_POSTING = "w:string,place:int,share:double,is_rare:boolean,is_key:boolean,t:int,need:int,keys:int,label:string,is_base:boolean"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list | None = None, base: dict[str, str] | None = None, rare: int = RARE) -> DataFrame:
@@ -77,62 +96,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Null and empty texts have no words.  Null ids and repeated rows are scanned like any row; extra columns are
     not read; an empty table gives an empty one.
     """
-    templates, base = templates or TEMPLATES, base or BASE
-    needed = sorted({w for _, t, keys in templates for p in (t, *keys) for w in p.split() if w not in _COMMON} | {w for p in [*base, *(k for _, _, keys in templates for k in keys)] for w in p.split()})
-    kept = cut(licence_words(docs, needed, id_col, text_col))
-    counts = {r["w"]: r["n"] for r in kept.select(F.explode(F.array_distinct(F.transform("held", lambda x: x["w"]))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vocabulary word
+    base = base or BASE
+    templates = templates or TEMPLATES
+    templates = [*templates, *((label, phrase, [phrase]) for phrase, label in base.items() if (label, phrase, [phrase]) not in templates)]
+    needed = sorted({w for _, t, keys in templates for p in (t, *keys) for w in p.split() if w not in _COMMON} | {w for _, _, keys in templates for k in keys for w in k.split()})
+    kept = cut(licence_words(docs, needed, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    words = F.transform("held", lambda x: x["w"])
+    counts = {r["w"]: r["n"] for r in kept.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vocabulary word
     total = kept.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1e-3 for w in needed}
 
-    phrases = sorted({*base, *(k for _, _, keys in templates for k in keys)})
-    starts = {p: F.col("s")[i] for i, p in enumerate(phrases)}
-    found = kept.withColumn("s", F.array(*[_starts(p) for p in phrases]))
-    found = found.withColumn("t", F.array(*[_template(t, keys, idf, rare, starts) for _, t, keys in templates]))
-
-    places = F.concat(*[starts[p] for p in base])
-    base_labels = [F.when(F.size(starts[p]) > 0, F.lit(label)) for p, label in base.items()]
-    own_labels = [F.when(F.col("t")[i].isNotNull(), F.lit(label)) for i, (label, _, _) in enumerate(templates)]
-    joined = lambda parts: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*parts)))), ",")
-    return found.select(
-        "doc_id",
-        "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"),
-        joined(base_labels + own_labels).alias("labels"),
-        F.round(F.coalesce(F.array_max("t"), F.lit(0.0)), 6).alias("score"),
+    index = postings(templates, base, idf, rare)
+    marked = F.from_json(F.lit(json.dumps(sorted({p["w"] for p in index if p["is_rare"]}))), "array<string>")
+    looked = kept.where(F.arrays_overlap(words, marked)).select("row", F.inline("held"))
+    # As many rows as the templates have words: the index is always small.
+    met = looked.join(F.broadcast(_rows(docs.sparkSession, index, _POSTING)), "w").groupBy("row", "t", (F.col("i") - F.col("place")).alias("begin"))
+    of_template = ["need", "keys", "label", "is_base"]
+    starts = met.agg(F.sum("share").alias("share"), F.count_if("is_rare").alias("n_rare"), F.count_if("is_key").alias("n_key"), *[F.any_value(c).alias(c) for c in of_template])
+    starts = starts.where((F.col("n_rare") >= F.col("need")) & (F.col("n_key") == F.col("keys")))
+    in_base = lambda c: F.when(F.col("is_base"), F.col(c))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    found = starts.groupBy("row").agg(
+        F.count_if("is_base").alias("n_base"),
+        F.min(in_base("begin")).cast("long").alias("first_word"),
+        F.max(in_base("begin")).cast("long").alias("last_word"),
+        joined(in_base("label")).alias("base_labels"),
+        joined(F.col("label")).alias("labels"),
+        F.round(F.least(F.max("share"), F.lit(1.0)), 6).alias("score"),
     )
-
-
-#: Words too common to weigh, unless a phrase needs them.
-_COMMON = {"the", "to", "of", "a", "and", "in", "is", "this", "or", "are", "as", "for", "any", "with", "into"}
-
-
-def _template(text: str, keys: list[str], idf: dict[str, float], rare: int, starts: dict[str, Column]) -> Column:
-    """The best share of the template's weight at a beginning that is met by its rare words and key phrases, else null."""
-    words = text.split()
-    rarest = sorted((k for k, w in enumerate(words) if w in idf), key=lambda k: (-idf[words[k]], k))[:rare]
-
-    def begin_by(k: int) -> Column:
-        return F.transform(F.filter("held", lambda x: x["w"] == words[k]), lambda x: x["i"] - k)
-
-    def with_key(met: Column, key: str) -> Column:
-        n = len(key.split())
-        at = next(k for k in range(len(words)) if words[k : k + n] == key.split())
-        return F.filter(met, lambda b: F.array_contains(starts[key], b + at))
-
-    begins = [begin_by(k) for k in rarest]
-    pairs = [F.array_intersect(a, b) for i, a in enumerate(begins) for b in begins[i + 1 :]]
-    met = F.array_distinct(F.concat(*pairs)) if pairs else begins[0]
-    for key in keys:
-        met = with_key(met, key)
-    weight = [idf.get(w, 0.0) for w in words]
-    whole = sum(weight)
-    word_at, weight_at = F.array(*[F.lit(w) for w in words]), F.array(*[F.lit(x / whole) for x in weight])
-
-    def share(begin: Column) -> Column:
-        inside = F.filter("held", lambda x: (x["i"] >= begin) & (x["i"] < begin + len(words)))
-        return F.aggregate(inside, F.lit(0.0), lambda total, x: total + F.when(F.get(word_at, x["i"] - begin) == x["w"], F.get(weight_at, x["i"] - begin)).otherwise(0.0))
-
-    return F.when(F.size(met) > 0, F.least(F.array_max(F.transform(met, share)), F.lit(1.0)))
+    rows = kept.select("row", "doc_id", "n_words").join(found, "row", "left")
+    return rows.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
