@@ -31,7 +31,7 @@ from plumbline.llm.common import batched, cut, doc_key, remove, utf8
 
 WIDTH = 35
 ANCHOR = 11
-FP_BYTES = 5
+FP_BYTES = 4
 #: Bytes of text whose windows are dealt to one task, and rows (of whole anchors) that a task holds at a time.
 TASK_BYTES, HELD_ROWS = 32 << 20, 50_000
 _B = 0x9E3779B97F4A7C15 | 1
