@@ -8,15 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.operators.stored import stored
+
+
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, T.NumericType | T.BooleanType)
 
 
 def numeric_value(df: DataFrame, name: str) -> Column:
-    """A score column as a double: an array counts as its mean, what is empty or no number as NaN."""
-    kind = df.schema[name].dataType.typeName()
-    if kind == "array":
-        v = F.transform(F.col(name), lambda x: x.cast("double"))
-        return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).otherwise(F.lit(float("nan")))
-    return F.coalesce(F.col(name).try_cast("double"), F.lit(float("nan")))
+    """A score column as a double: an array or matrix of numbers counts as their mean; what is empty, ragged, holds a null or is
+    no number (texts in arrays, maps, structs, dates) as NaN.  A text counts if it spells a number."""
+    kind, nan = df.schema[name].dataType, F.lit(float("nan"))
+    if isinstance(kind, T.ArrayType):
+        values, whole = F.col(name), F.lit(True)
+        if isinstance(kind.elementType, T.ArrayType):
+            kind = kind.elementType
+            sizes = F.transform(values, F.size)
+            values, whole = F.flatten(values), F.array_max(sizes) == F.array_min(sizes)
+        if not _is_number(kind.elementType):
+            return nan
+        values = F.transform(values, lambda x: x.cast("double"))
+        mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+        return F.coalesce(F.when(whole & (F.size(values) > 0), mean), nan)
+    if _is_number(kind) or isinstance(kind, T.StringType):
+        return F.coalesce(F.col(name).try_cast("double"), nan)
+    return nan
 
 
 #: Where a score is looked for, by kind of method and then in general, and fields that are never scores.
@@ -41,30 +59,35 @@ def unpivot(df: DataFrame, columns: list[str], invert: bool = False) -> DataFram
     return df.select("qid", F.explode(F.array(*values)).alias("v")).select("qid", "v.*")
 
 
-SPLITS = 63
-
-
-def _ranged(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Adds ``b``, the range of uncertainties that a row falls in; equal ones share a range."""
-    cuts = df.groupBy(*by).agg(F.percentile_approx("uq", [i / (SPLITS + 1) for i in range(1, SPLITS + 1)], 10_000).alias("cuts"))
-    return df.join(cuts, list(by)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("uq")))).drop("cuts")
+def _ranged(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The rows dealt to ranges of ``order``, stored, with the number ``b`` of the range each is in; ties of the leading columns
+    are parted by the later ones, so no value's rows need to share a task."""
+    return stored(rows.repartitionByRange(*order).withColumn("b", F.spark_partition_id()))
 
 
 def _before(rows: DataFrame, by: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
-    """Totals of all ranges before each range: at most ``SPLITS + 1`` rows a group."""
+    """Totals of all ranges before each range: one row a group and range."""
     order = Window.partitionBy(*by).orderBy("b")
     totals = rows.groupBy(*by, "b").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     return totals.select(*by, "b", *[(F.sum(k).over(order) - F.col(k)).alias(f"{k}_before") for k in sums])
 
 
+def _running(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running totals ``<name>_upto`` over ``order``, this row included: inside ranges, which are tasks of their own, and
+    over the ranges' totals."""
+    inside = Window.partitionBy(*by, "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(inside).alias(f"{k}_local") for k, c in sums.items()])
+    joined = local.join(_before(rows, by, sums), [*by, "b"])
+    return joined.select(*[F.col(c) for c in rows.columns], *[(F.col(f"{k}_before") + F.col(f"{k}_local")).alias(f"{k}_upto") for k in sums])
+
+
 def _auroc(ranged: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Pairs that a good row wins, from counts of each distinct uncertainty."""
     good = (F.col("quality").cast("int") == 1).cast("long")
-    ties = ranged.groupBy(*by, "b", "uq").agg(F.sum(good).alias("p"), F.sum(1 - good).alias("q"))
-    local = F.sum("q").over(Window.partitionBy(*by, "b").orderBy("uq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = ties.withColumn("upto", local).join(_before(ties, by, {"q": F.col("q")}), [*by, "b"])
+    ties = ranged.groupBy(*by, "uq").agg(F.min("b").alias("b"), F.sum(good).alias("p"), F.sum(1 - good).alias("q"))
+    rows = _running(ties, by, ("uq",), {"q": F.col("q")})
     p, q = F.sum("p"), F.sum("q")
-    lost = F.sum(F.col("p") * (F.col("q_before") + F.col("upto") - F.col("q") / 2))  # to bad rows of less uncertainty, ties at half
+    lost = F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2))  # to bad rows of less uncertainty, ties at half
     return rows.groupBy(*by).agg(F.when((p > 0) & (q > 0), 1 - lost / (p * q)).alias("auroc"))
 
 
@@ -73,23 +96,21 @@ def rank(df: DataFrame, by: tuple[str, ...] = ("uq_column",)) -> DataFrame:
 
     ``auroc`` compares the negated uncertainty with quality 1 (as integers), ties at half, null for one class.
     ``auarc`` is the trapezoid area under the running mean of quality over coverage 0 to 1, null for one row.
-    ``prr`` is the mean of the running means of min-max normalised quality (a constant one is 0.5).
+    ``prr`` is the mean of the running means of min-max normalised quality; where the least and the largest quality are
+    equal, but for a relative 1e-5 and an absolute 1e-8, it is 0.5.
 
-    Running sums take two levels: inside ranges of uncertainty, which are tasks of their own, and over the ranges'
-    totals; so that one score column of any length is not sorted by one task.
+    The input is computed once and stored as a narrow table; running sums take two levels, so that one score column of
+    any length is not sorted by one task, nor the rows of one hot uncertainty.
     """
     df = df.where(F.col("uq").isNotNull() & ~F.isnan("uq") & F.col("quality").isNotNull()).select(*by, "qid", "uq", F.col("quality").cast("double").alias("quality"))
-    ranged = _ranged(df, by)
-    order = Window.partitionBy(*by, "b").orderBy("uq", "qid")
-    rows = ranged.select(*by, "b", "quality", F.row_number().over(order).alias("k"), F.sum("quality").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    rows = rows.join(_before(ranged, by, {"n": F.lit(1), "s": F.col("quality")}), [*by, "b"])
-    place = F.col("n_before") + F.col("k")
-    rows = rows.select(*by, "quality", place.alias("k"), ((F.col("s_before") + F.col("s")) / place).alias("m"))
+    ranged = _ranged(stored(df), (*by, "uq", "qid"))
+    rows = _running(ranged, by, ("uq", "qid"), {"k": F.lit(1), "s": F.col("quality")})
+    rows = rows.select(*by, "quality", F.col("k_upto").alias("k"), (F.col("s_upto") / F.col("k_upto")).alias("m"))
     n, low, high, mean = F.count(F.lit(1)), F.min("quality"), F.max("quality"), F.avg("m")
     curves = rows.groupBy(*by).agg(
         n.alias("matched"),
         F.when(n > 1, (F.sum("m") - (F.min_by("m", "k") + F.max_by("m", "k")) / 2) / (n - 1)).alias("auarc"),
-        F.when(high > low, (mean - low) / (high - low)).otherwise(0.5).alias("prr"),
+        F.when(F.abs(low - high) > 1e-8 + 1e-5 * F.abs(high), (mean - low) / (high - low)).otherwise(0.5).alias("prr"),
     )
     return curves.join(_auroc(ranged, by), list(by)).select(*by, "matched", "auroc", "auarc", "prr")
 
@@ -97,13 +118,11 @@ def rank(df: DataFrame, by: tuple[str, ...] = ("uq_column",)) -> DataFrame:
 def exact_percentile(df: DataFrame, column: str, share: float, by: tuple[str, ...], name: str) -> DataFrame:
     """``by, name``: the linearly interpolated percentile, from counts of distinct values and two-level running counts."""
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("uq"))
-    counts = _ranged(rows, by).groupBy(*by, "b", "uq").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by, "b").orderBy("uq").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).join(_before(counts, by, {"n": F.col("n")}), [*by, "b"]).withColumn("upto", F.col("n_before") + F.col("upto"))
+    counts = _ranged(rows.groupBy(*by, "uq").agg(F.count(F.lit(1)).alias("n")), (*by, "uq"))
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     h = F.lit(share) * (F.col("total") - 1)
-    at = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("uq")))
-    found = placed.join(total, list(by)).groupBy(*by, "total").agg(at(F.floor(h)).alias("low"), at(F.ceil(h)).alias("high"))
+    at = lambda place: F.max(F.when((F.col("n_upto") - F.col("n") <= place) & (place < F.col("n_upto")), F.col("uq")))
+    found = _running(counts, by, ("uq",), {"n": F.col("n")}).join(total, list(by)).groupBy(*by, "total").agg(at(F.floor(h)).alias("low"), at(F.ceil(h)).alias("high"))
     return found.select(*by, (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias(name))
 
 
@@ -113,11 +132,17 @@ def score_columns(df: DataFrame, prefixes: tuple[str, ...] = ("u_", "c_", "U", "
 
 
 def evaluate(scores: DataFrame, quality: DataFrame, columns: list[str], invert: bool = False, continuous: bool = False) -> DataFrame:
-    """Long report ``(uq_column, metric, value)``: matched questions, AUARC, and PRR for continuous quality or AUROC else.
-    A column that no question with quality has a score in counts 0 matches, and its measures are null."""
-    ranked = rank(unpivot(scores, columns, invert).join(quality.select("qid", "quality"), "qid"))
+    """Long report ``(uq_column, metric, value)`` of wide scores: matched questions, AUARC, and PRR for continuous quality or AUROC
+    else.  A column that no question with quality has a score in counts 0 matches, and its measures are null."""
     asked = scores.sparkSession.createDataFrame([(c,) for c in columns], "uq_column string")
-    ranked = asked.join(ranked, "uq_column", "left").fillna({"matched": 0})
+    return evaluate_long(unpivot(scores, columns, invert), quality, continuous, asked)
+
+
+def evaluate_long(long: DataFrame, quality: DataFrame, continuous: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """As ``evaluate``, of ``long(qid, uq_column, uq)``; ``asked(uq_column)`` names what is reported in any case."""
+    ranked = rank(long.join(quality.select("qid", "quality"), "qid"))
+    if asked is not None:
+        ranked = asked.join(ranked, "uq_column", "left").fillna({"matched": 0})
     main = "prr" if continuous else "auroc"
     cell = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
     return ranked.select("uq_column", F.explode(F.array(cell("matched"), cell(main), cell("auarc"))).alias("x")).select("uq_column", "x.*")

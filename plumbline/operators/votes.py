@@ -9,7 +9,8 @@ from plumbline.functions.text import let, normalize_answer
 
 
 def majority(answers: Column, normalize=normalize_answer) -> Column:
-    """The most common normalised answer; on any tie for the top the first one, normalised; empty text for none."""
+    """The most common normalised answer; on any tie for the top, or where that is empty, the first one, normalised; empty
+    text for none."""
 
     def counted(own: Column) -> Column:
         counts = F.transform(F.array_distinct(own), lambda a: F.struct(F.size(F.filter(own, lambda x: x == a)).alias("n"), a.alias("a")))
@@ -18,7 +19,7 @@ def majority(answers: Column, normalize=normalize_answer) -> Column:
     def chosen(c: Column) -> Column:
         most = F.array_max(F.transform(c["counts"], lambda x: x["n"]))
         tied = let(most, lambda n: F.filter(c["counts"], lambda x: x["n"] == n))
-        return let(tied, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))["a"]).otherwise(F.get(c["own"], F.lit(0))))
+        return let(tied, lambda t: F.when((F.size(t) == 1) & (F.get(t, F.lit(0))["a"] != ""), F.get(t, F.lit(0))["a"]).otherwise(F.get(c["own"], F.lit(0))))
 
     return F.coalesce(let(let(F.transform(answers, normalize), counted), chosen), F.lit(""))
 

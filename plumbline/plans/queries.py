@@ -1,7 +1,7 @@
 """The registered queries of the engine's own operators over the test tables, each with its DuckDB counterpart.
 
-Bindings: an answer set is a user's first ten event types by time (set A), or a conversation's assistant turns with
-its user turns as references (set C); labels between event types come from a small table that is asymmetric and
+Bindings: an answer set is ten consecutive event types of a user, by time (set A; all events are in one), or a conversation's
+assistant turns with its user turns as references (set C); labels between event types come from a small table that is asymmetric and
 has neutrals, or are plain equality.  Results are rounded to six places on both sides.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import numeric as N
@@ -56,7 +56,9 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def set_a(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.answer_sets(_read(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], 10, F.lit("type"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = _read(spark, sf, "events").withColumn("set", F.col("user_id") * 100_000 + F.floor(place / 10))
+    return pairs.answer_sets(rows, "set", "event_type", ["ts", "event_id"], question=F.lit("type"))
 
 
 def labels(spark: SparkSession, rows: list) -> DataFrame:
@@ -89,7 +91,7 @@ def _values(rows: list) -> str:
 
 
 def with_pairs(rows: list, more: str, recursive: bool = False) -> str:
-    return f"""WITH {'RECURSIVE ' if recursive else ''}a AS (SELECT qid, t, i FROM (SELECT user_id AS qid, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i < 10),
+    return f"""WITH {'RECURSIVE ' if recursive else ''}a AS (SELECT user_id * 100000 + k // 10 AS qid, t, k % 10 AS i FROM (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)),
 nli(t1, t2, l, c) AS (VALUES {_values(rows)}),
 p AS (SELECT x.qid, x.i, y.i AS j, x.t AS ti, y.t AS tj, CASE WHEN x.t = y.t THEN 2 ELSE f.l END AS l, CASE WHEN x.t = y.t THEN 2 ELSE g.l END AS r,
  CASE WHEN x.t = y.t THEN 0.999 ELSE f.c END AS c, CASE WHEN x.t = y.t THEN 0.999 ELSE g.c END AS rc
@@ -353,7 +355,7 @@ JOIN (SELECT conv_id, list(text ORDER BY turn) AS refs FROM conversations WHERE
 o AS (SELECT qid, unnest(answers) AS a, unnest(range(len(answers))) AS i, len(answers) AS n, answers FROM s),
 v0 AS (SELECT qid, {na} AS a, count(*) AS c FROM o GROUP BY 1, 2),
 v AS (SELECT qid, CASE WHEN count(*) FILTER (c = top) = 1 THEN max(a) FILTER (c = top) END AS mode FROM (SELECT *, max(c) OVER (PARTITION BY qid) AS top FROM v0) GROUP BY qid),
-q AS (SELECT s.qid, coalesce(mode, {first}) AS prediction, answers, refs FROM s JOIN v ON v.qid = s.qid),
+q AS (SELECT s.qid, coalesce(nullif(mode, ''), {first}) AS prediction, answers, refs FROM s JOIN v ON v.qid = s.qid),
 b AS (SELECT qid, prediction, unnest(refs) AS ref, unnest(range(len(refs))) AS k FROM q)"""
 
 
@@ -662,7 +664,7 @@ def quality_binary(spark: SparkSession, sf: str) -> DataFrame:
     "array_to_string(list(qid::VARCHAR ORDER BY qid::VARCHAR) FILTER (quality = 0 AND uq <= t), ',') AS qids FROM u, c",
 )
 def oc_subset(spark: SparkSession, sf: str) -> DataFrame:
-    found = subsets.confident_failures(_documents_scored(spark, sf))
+    found = subsets.with_ids(*subsets.confident_failures(_documents_scored(spark, sf)))
     return found.select("total", "bad", "selected", F.round("uq_threshold", 6).alias("uq_threshold"), "ratio", F.array_join("qids", ",").alias("qids"))
 
 
@@ -672,5 +674,5 @@ def oc_subset(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT uq_column, any_value(total) AS total, count(*) FILTER (quality <= b) AS bad, count(*) FILTER (quality <= b AND uq <= t) AS selected, round(any_value(b), 4) AS quality_threshold, round(count(*) FILTER (quality <= b AND uq <= t) / count(*) FILTER (quality <= b)::DOUBLE, 4) AS ratio FROM u JOIN c USING (uq_column) GROUP BY uq_column",
 )
 def oc_subset_continuous(spark: SparkSession, sf: str) -> DataFrame:
-    found = subsets.confident_failures(_orders_scored(spark, sf), continuous=True, by=("uq_column",))
+    found, _ = subsets.confident_failures(_orders_scored(spark, sf), continuous=True, by=("uq_column",))
     return found.select("uq_column", "total", "bad", "selected", F.round("quality_threshold", 4).alias("quality_threshold"), "ratio")

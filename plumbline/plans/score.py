@@ -21,6 +21,11 @@ def _per_row(value: Callable[..., dict]) -> Callable[..., DataFrame]:
     return method
 
 
+def as_bool(value: object) -> bool:
+    """A flag as its text says: "true" in any case, nothing else; what is no text by its truth."""
+    return value.lower() == "true" if isinstance(value, str) else bool(value)
+
+
 def entropy(strict: bool = False) -> dict:
     return {"discrete_semantic_uncertainty": clusters.cluster_entropy(clusters.semantic_ids(L, strict))}
 
@@ -52,11 +57,13 @@ def kernel(m: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def pair_entailment(strict: bool = False, neutral: bool = False, both: bool = False) -> dict:
+    strict, neutral, both = as_bool(strict), as_bool(neutral), as_bool(both)
     each = S.per_response(S.entailment_similarity(L, strict, neutral, both))
     return {"luq_pair": pairs.mean(each), "luq_pair_per_response": each, "luq_bidirectional": F.lit(both), "luq_include_neutral": F.lit(neutral)}
 
 
 def continuous_pair_entailment(both: bool = False) -> dict:
+    both = as_bool(both)
     s = S.continuous_similarity(A, L, C, both)
     each = S.per_response(s)
     return {"semantic_similarity_matrix": s, "semantic_density": 1 - pairs.mean(each), "semantic_density_uncertainty": pairs.mean(each), "luq_pair": pairs.mean(each), "luq_pair_per_response": each, "luq_bidirectional": F.lit(both)}
@@ -91,6 +98,7 @@ def continuous_contrast(variant: str = "full", temperature: float = 1.0, exclude
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
+    "discrete_semantic_uncertainty": _per_row(entropy),
     "discrete_semantic_entropy": _per_row(entropy),
     "discrete_gwc": discrete_graph,
     "continuous_gwc": continuous_graph,
@@ -104,10 +112,13 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def score(sets: DataFrame, cache: DataFrame, method: str, strict_cache: bool = True, **options) -> DataFrame:
-    """Scores of every answer set by a named method; see ``METHODS``.  ``consistency_triplet`` needs no labels: see below."""
+def score(sets: DataFrame, cache: DataFrame | None, method: str, strict_cache: bool = True, **options) -> DataFrame:
+    """Scores of every answer set by a named method; see ``METHODS``.  ``consistency_triplet`` needs no labels but two encoders'
+    vectors, as the options ``first`` and ``second``."""
+    if method == "consistency_triplet":
+        return consistency_triplet(sets, **options)
     if method not in METHODS:
-        raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
+        raise ValueError(f"unknown method {method}; known: {', '.join([*METHODS, 'consistency_triplet'])}")
     return METHODS[method](pairs.label_matrices(sets, cache, strict_cache), **options)
 
 

@@ -30,14 +30,47 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("a.qid", "a.question_id").alias("qid"), "a.question", answers.alias("answers"), "a.story_id", "a.turn_id", "ordinal")
 
 
-def write_answers(sets: DataFrame, path: str, arguments: dict[str, object] | None = None) -> None:
-    """One JSON document, UTF-8 as it is, with the arguments under the key that readers of the format expect.
+def write_document(rows: DataFrame, path: str, head: str = "[", tail: str = "]", order: list[str] | None = None) -> None:
+    """One JSON document, UTF-8 as it is: ``rows(element)``, each a piece of JSON, between ``head`` and ``tail``.
 
-    Meant for exchange with tools that read one document; large sets belong in Parquet.
+    One task writes it, row by row; no row or column holds the whole.  It is meant for exchange with tools that read one
+    document; large tables belong in Parquet.
     """
-    options = F.from_json(F.lit(json.dumps({k: str(v) for k, v in (arguments or {}).items()})), "map<string,string>")
-    rows = sets.select(F.struct(*[c for c in ("qid", "question", "answers", "story_id", "turn_id") if c in sets.columns]).alias("a"))
-    rows.agg(options.alias("generaion_args"), F.collect_list("a").alias("answers")).coalesce(1).write.mode("overwrite").json(path)
+    spark = rows.sparkSession
+    rows = rows.orderBy(*order) if order else rows
+    lines = rows.coalesce(1).select(F.when(F.monotonically_increasing_id() == 0, F.col("element")).otherwise(F.concat(F.lit(","), "element")).alias("value"))
+    edge = lambda text: spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+    edge(head).union(lines).union(edge(tail)).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_answers(sets: DataFrame, path: str, arguments: dict[str, object] | None = None) -> None:
+    """Answer sets as one document, in the order of ``ordinal`` where there is one, with the arguments under the key that readers of
+    the format expect."""
+    options = json.dumps({k: str(v) for k, v in (arguments or {}).items()}, ensure_ascii=False)
+    order = ["ordinal"] if "ordinal" in sets.columns else None
+    element = F.to_json(F.struct(*[c for c in ("qid", "question", "answers", "story_id", "turn_id") if c in sets.columns])).alias("element")
+    write_document(sets.select(element, *(order or [])), path, f'{{"generaion_args": {options}, "answers": [', "]}", order)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Score rows as one list document, in the order of qid."""
+    write_document(scores.select("qid", F.to_json(F.struct(*scores.columns)).alias("element")), path, order=["qid"])
+
+
+def write_qa_report(report: DataFrame, quality: DataFrame, path: str) -> None:
+    """One document: the report's averages, and under ``per_question_accuracy`` each question's quality (see ``per_question``)."""
+    head = report.select(F.to_json(F.struct(*report.columns)).alias("j")).first()["j"]  # one row
+    value = F.to_json("quality") if quality.schema["quality"].dataType.typeName() == "struct" else F.col("quality").cast("string")
+    element = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("qid").cast("string").alias("q"))), r'(?s)^\{"q":(.*)\}$', 1), F.lit(": "), value)
+    write_document(quality.select("qid", element.alias("element")), path, head.rstrip()[:-1] + ', "per_question_accuracy": {', "}}", ["qid"])
+
+
+def write_uq_report(ranking: DataFrame, path: str, single: bool = False) -> None:
+    """One document of a ranking report (a row a column and measure).  With ``single`` the one score's measures have plain names."""
+    name = F.when(F.col("metric") == "matched", F.lit("Number of matched questions")).otherwise(F.upper("metric") if single else F.concat_ws("_", "uq_column", "metric"))
+    rows = ranking.groupBy(name.alias("name")).agg(F.max("value").alias("value"))
+    element = F.concat(F.lit('"'), "name", F.lit('": '), F.when(F.col("name") == "Number of matched questions", F.col("value").cast("long").cast("string")).otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null"))))
+    write_document(rows.select("name", element.alias("element")), path, "{", "}", ["name"])
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -150,7 +150,7 @@ def test_auroc_is_symmetric(spark):
 
 def test_confident_failures(spark):
     rows = [(f"q{i}", float(i), float(i % 2)) for i in range(10)]
-    r = subsets.confident_failures(spark.createDataFrame(rows, "qid string, uq double, quality double")).first()
+    r = subsets.with_ids(*subsets.confident_failures(spark.createDataFrame(rows, "qid string, uq double, quality double"))).first()
     assert (r["total"], r["bad"], r["selected"], r["ratio"], r["qids"]) == (10, 5, 1, 0.2, ["q0"])
     assert r["uq_threshold"] == pytest.approx(1.8)
 
