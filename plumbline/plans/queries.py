@@ -676,3 +676,6 @@ def oc_subset(spark: SparkSession, sf: str) -> DataFrame:
 def oc_subset_continuous(spark: SparkSession, sf: str) -> DataFrame:
     found, _ = subsets.confident_failures(_orders_scored(spark, sf), continuous=True, by=("uq_column",))
     return found.select("uq_column", "total", "bad", "selected", F.round("quality_threshold", 4).alias("quality_threshold"), "ratio")
+
+
+from plumbline.plans import data_queries  # noqa: E402, F401  (registers its queries here)

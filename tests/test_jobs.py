@@ -1,6 +1,8 @@
 """Sources, evaluators, providers and streaming on small files."""
 
 import json
+import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -194,3 +196,78 @@ def test_cache_policy(spark, tmp_path):
         score.score(more, providers.cache_for(more, path, lambda q, a, b: 1 / 0), "discrete_luq_pair").collect()
     m = sets.select(prompts.entailment_messages(F.col("question"), F.lit("x"), F.lit("y")).alias("m")).first()["m"]
     assert 'question "q"' in m[0]["content"] and "Answer 2: y" in m[0]["content"]
+
+
+def test_report_documents(spark, tmp_path):
+    a = spark.createDataFrame([("1", ["x"], 0), ('2"', ["y"], 0)], "qid string, answers array<string>, ordinal int")
+    g = spark.createDataFrame([("1", ["x"]), ('2"', ["z"])], "qid string, refs array<string>")
+    s = spark.createDataFrame([("1", 0.1), ('2"', 0.9)], "qid string, u_deg double")
+    out = evaluate.run(g, a, "squad", s)
+    at = str(tmp_path / "qa")
+    answers.write_qa_report(out["report"], reports.per_question(out["quality"]), at)
+    read = lambda folder: json.loads("".join(p.read_text("utf-8") for p in sorted(Path(folder).glob("part-*"))))
+    assert read(at)["per_question_accuracy"] == {"1": 1, '2"': 0} and read(at)["average_accuracy"] == 50.0
+    at = str(tmp_path / "uq")
+    answers.write_uq_report(out["ranking"], at)
+    assert read(at) == {"Number of matched questions": 2, "u_deg_auroc": 1.0, "u_deg_auarc": 0.75}
+    at = str(tmp_path / "scores")
+    answers.write_scores(s, at)
+    assert read(at) == [{"qid": "1", "u_deg": 0.1}, {"qid": '2"', "u_deg": 0.9}]
+    at = str(tmp_path / "none")
+    answers.write_scores(s.limit(0), at)
+    assert read(at) == []
+    x = evaluate.run(g, a, "xsum", task="qa")
+    answers.write_qa_report(x["report"], reports.per_question(x["quality"]), str(tmp_path / "gen"))
+    assert read(str(tmp_path / "gen"))["per_question_accuracy"]["1"]["rouge_l"] == 100.0
+
+
+def test_evaluation_by_method(spark):
+    schema = "qid string, semantic_ids array<int>, entropies map<string,double>"
+    q = spark.createDataFrame([("1", 1.0), ("2", 0.0), ("3", 1.0)], "qid string, accuracy double")
+    kle = spark.createDataFrame([("1", [0], {"a": 0.1, "b": 0.9}), ("2", [0], {"a": 0.5, "b": 0.5}), ("3", [0], None)], schema)
+    got = {(r["uq_column"], r["metric"]): r["value"] for r in evaluate.rank_scores(q, kle, "squad", method="kle").collect()}
+    assert got["a", "auroc"] == 1.0 and got["b", "auroc"] == 0.0 and got["a", "matched"] == 2
+    gwc = spark.createDataFrame([("1", 0.1, [0.2, 0.4], [[1.0]]), ("2", 0.2, [0.9, 0.9], [[1.0]])], "qid string, u_deg double, c_deg array<double>, similarity_matrix array<array<double>>")
+    got = {r["uq_column"] for r in evaluate.rank_scores(q, gwc, "squad", method="continuous_gwc").collect()}
+    assert got == {"u_deg", "c_deg"}
+    triplet = spark.createDataFrame([("1", 0.9, 0.9, 0.1), ("2", 0.2, 0.3, 0.4)], "qid string, exact_match double, bert_score double, cosine_sim double")
+    got = {(r["uq_column"], r["metric"]): r["value"] for r in evaluate.rank_scores(q, triplet, "squad", method="consistency_triplet").collect()}
+    assert got["exact_match", "auroc"] == 1.0 and got["cosine_sim", "auroc"] == 0.0  # turned round
+    density = spark.createDataFrame([("1", ["a"], 0.1), ("2", ["b"], 0.3)], "qid string, semantic_density_unique_responses array<string>, semantic_density_uncertainty double")
+    got = {r["metric"]: r["value"] for r in evaluate.rank_scores(q, density, "squad", method="discrete_semantic_density").collect()}
+    assert got["auroc"] == 1.0 and got["matched"] == 2
+    assert evaluate.is_conservative("azure-GPT-4o") and not evaluate.is_conservative("llama")
+
+
+def test_translations_report(spark):
+    g, a = frames(spark, [("1", ["the cat is on the mat"], 0)], [("1", ["cat is on mat"])])
+    r = evaluate.run(g, a, "wmt19_cs-en", task="qa")["report"].first()
+    assert r["corpus_bleu"] == pytest.approx(100) and r["translation_direction"] == "cs-en" and r["number_of_questions"] == 1
+
+
+def test_names_and_flags(spark):
+    sets = spark.createDataFrame([("1", "q", ["a", "a"])], "qid string, question string, answers array<string>")
+    v = spark.createDataFrame([("1", [[1.0, 0.0], [1.0, 0.0]])], "qid string, vectors array<array<double>>")
+    r = score.score(sets, None, "consistency_triplet", first=v, second=v).first()
+    assert (r["exact_match"], r["bert_score"], r["cosine_sim"]) == (1.0, 1.0, 1.0)
+    empty = spark.createDataFrame([], "question string, text1 string, text2 string, label int, confidence double")
+    assert score.score(sets, empty, "discrete_semantic_uncertainty").first()["discrete_semantic_uncertainty"] == 0
+    assert [score.as_bool(x) for x in ("True", "TRUE", "yes", "", True, 1, 0, None)] == [True, True, False, False, True, True, False, False]
+
+
+def test_empty_winner(spark):
+    from plumbline.operators import votes
+
+    rows = [(["Paris", "", "the"],), (["", "", "x"],), (["A", "b", "b"],), ([],)]
+    df = spark.createDataFrame(rows, "answers array<string>")
+    assert [r[0] for r in df.select(votes.prediction(F.col("answers"))).collect()] == ["paris", "", "b", ""]
+
+
+def test_numbers_of_any_column(spark):
+    df = spark.createDataFrame(
+        [(["1", "x"], [[1.0, 2.0], [3.0, 4.0]], [[1.0], [2.0, 3.0]], {"a": 1.0}, "2.5", "x", [1.0, None], [True, False], True)],
+        "texts array<string>, matrix array<array<double>>, ragged array<array<double>>, map map<string,double>, text string, word string, holes array<double>, flags array<boolean>, flag boolean",
+    )
+    got = df.select(*[ranking.numeric_value(df, c).alias(c) for c in df.columns]).first().asDict()
+    assert {k for k, v in got.items() if math.isnan(v)} == {"texts", "ragged", "map", "word", "holes"}
+    assert (got["matrix"], got["text"], got["flags"], got["flag"]) == (2.5, 2.5, 0.5, 1.0)

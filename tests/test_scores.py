@@ -170,3 +170,67 @@ def test_permutation_keeps_graph_scores():
     p = rng.permutation(6)
     for a, b in zip(spectral.eigen_scores(w)[:2], spectral.eigen_scores(w[:, p][:, :, p])[:2], strict=True):
         close(a, b, 1e-9)
+
+
+def test_spectral_scores_row_by_row(spark, sf):
+    """Every score of a whole table, recomputed one matrix at a time."""
+    from plumbline.operators import graph, pairs, spectral
+    from plumbline.plans.queries import GRADED, labels, set_a
+
+    m = pairs.label_matrices(set_a(spark, sf), labels(spark, GRADED)).select("qid", "labels", "confidences")
+    g = m.select("qid", graph.label_weights(F.col("labels")).alias("weights"), graph.label_edges(F.col("labels")).alias("g1"), graph.confidence_edges(F.col("confidences")).alias("g2"))
+    scores = {r["qid"]: r for r in spectral.graph_scores(g.select("qid", "weights")).collect()}
+    kernels = {r["qid"]: r["entropies"] for r in spectral.kernel_scores(g.select("qid", "g1", "g2"), {"g1": "a_", "g2": "b_"}).collect()}
+
+    def entropy(kernel):
+        n = len(kernel)
+        d = np.array([[np.sqrt(kernel[i, i] * kernel[j, j]) for j in range(n)] for i in range(n)])
+        return -sum(v * np.log(abs(v)) for v in np.linalg.eigvalsh(kernel / d / n) if abs(v) > 1e-8)
+
+    rows = g.collect()
+    for r in rows:
+        w = np.array(r["weights"])
+        n = len(w)
+        assert np.allclose(w, w.T)
+        deg = np.diag(1 / np.sqrt(w.sum(1) + 1e-10))
+        values, vectors = np.linalg.eigh(np.eye(n) - deg @ w @ deg)
+        assert scores[r["qid"]]["u_eigv"] == pytest.approx(sum(max(0, 1 - v) for v in values), abs=1e-6)
+        kept = [vectors[:, k] for k in range(n) if values[k] > 0.9]
+        away = sum(np.linalg.norm(v - v.mean()) ** 2 for v in kept)
+        assert scores[r["qid"]]["u_ecc"] == pytest.approx(np.sqrt(away), abs=1e-6) and len(scores[r["qid"]]["c_ecc"]) == len(kept)
+        if len(np.unique(values.round(6))) == n:
+            assert np.allclose(sorted(scores[r["qid"]]["c_ecc"]), sorted(-np.linalg.norm(v - v.mean()) for v in kept), atol=1e-6)
+        for name, prefix in (("g1", "a_"), ("g2", "b_")):
+            w = np.array(r[name])
+            deg = w.sum(1)
+            plain = np.diag(deg) - w
+            s = np.diag([1 / np.sqrt(x) if x > 0 else 0 for x in deg])
+            for mark, lap in (("", plain), ("n", s @ plain @ s)):
+                values, vectors = np.linalg.eigh(lap)
+                for t in (0.1, 0.7):
+                    want = entropy(vectors @ np.diag(np.exp(-t * values)) @ vectors.T)
+                    assert kernels[r["qid"]][f"{prefix}heat{mark}_t={t}_kernel_entropy"] == pytest.approx(want, abs=1e-6)
+                for kappa, nu in ((1.0, 1.0), (3.0, 2.0)):
+                    want = entropy(vectors @ np.diag(np.maximum(2 * nu / kappa**2 + values, 1e-10) ** -nu) @ vectors.T)
+                    assert kernels[r["qid"]][f"{prefix}matern{mark}_kappa={kappa}_nu={nu}_kernel_entropy"] == pytest.approx(want, abs=1e-6)
+                    assert kernels[r["qid"]][f"{prefix}matern{mark}_kappa={kappa}_nu={nu}_kernel_entropy_s"] == pytest.approx(want / np.log(n), abs=1e-6) if n > 1 else True
+    assert len(rows) > 100 and any(len(r["weights"]) < 10 for r in rows)
+
+
+def test_ties_of_one_uncertainty_are_parted(spark):
+    """A hot value's rows stand in several ranges, and the curves are those of one sorted list."""
+    rng = np.random.default_rng(1)
+    rows = [(int(i), "u", 0.0 if i % 3 else float(rng.integers(5)), float(rng.integers(2))) for i in rng.permutation(3000)]
+    df = spark.createDataFrame(rows, "qid long, uq_column string, uq double, quality double").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be joined
+    try:
+        assert ranking._ranged(df, ("uq_column", "uq", "qid")).where("uq = 0").select("b").distinct().count() > 1
+        got = ranking.rank(df).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranked = sorted(rows, key=lambda r: (r[2], r[0]))
+    q = np.array([r[3] for r in ranked])
+    means = np.cumsum(q) / np.arange(1, len(q) + 1)
+    assert got["auarc"] == pytest.approx((means.sum() - (means[0] + means[-1]) / 2) / (len(q) - 1)) and got["prr"] == pytest.approx(means.mean())
+    good, bad = ([r[2] for r in rows if r[3] == k] for k in (1.0, 0.0))
+    assert got["auroc"] == pytest.approx(np.mean([(b > a) + 0.5 * (a == b) for a in good for b in bad]))
