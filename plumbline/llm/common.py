@@ -55,6 +55,17 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     ]
 
 
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def batched(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Cut a run of items into consecutive slices whose sizes sum to about ``most``; a larger item stands alone."""
     start, total, i = 0, 0, -1

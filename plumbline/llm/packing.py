@@ -52,6 +52,9 @@ class ChunkTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        probe = "The Quick ÉCOLE"
+        if self.whole.encode(probe, add_special_tokens=False).ids != self.whole.encode(probe.lower(), add_special_tokens=False).ids:
+            raise ValueError(f"{path} tells upper case from lower; only tokenizers that lower-case are known here")
         # Plain words are encoded many at a time; the tokens that end a word tell them apart again.
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
@@ -280,7 +283,8 @@ def pack(
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
     """``(sequence_id, n_tokens, ids)``: the pieces of each sequence joined, padded to ``window`` unless its length is a
-    power of two.  A group holds at most ``window`` tokens."""
+    power of two.  A group holds at most ``window`` tokens.  Every piece belongs to one sequence, so nulls, ties and repeats do not
+    arise; extra columns are not read, and an empty table gives an empty one."""
     parts = F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("ids"))))
     joined = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.unhex(F.array_join(F.transform(parts, lambda x: x["ids"]), "")).alias("ids"))
     n = F.col("n_tokens")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, doc_key, utf8
+from plumbline.llm.common import cut, doc_key, unused, utf8
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -265,15 +265,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of ``docs``, with all their columns, less all but one of each component: the one of the smallest id
     stays (a null id counts as larger than any).  Of rows that repeat an id and text, one stays.  Null and empty texts are near copies
     of one another; an empty table gives an empty one."""
-    k_id, k_text = doc_key(id_col, text_col)
-    keyed = docs.withColumns({"_k_null": F.col(id_col).isNull(), "_k_id": k_id, "_k_text": k_text})
+    keys = unused(["_k_null", "_k_id", "_k_text"], docs.columns)
+    keyed = docs.withColumns(dict(zip(keys, [F.col(id_col).isNull(), *doc_key(id_col, text_col)], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(t, shingle) for t in utf8(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_k_null", "_k_id", "_k_text")), pa.array(fps, pa.int64())], ["_k_null", "_k_id", "_k_text", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    keys = ["_k_null", "_k_id", "_k_text"]
-    prints = cut(keyed.select(*keys, F.col(text_col).alias("text")).mapInArrow(run, "_k_null boolean, _k_id long, _k_text long, fp long"))
+    null, k_id, k_text = keys
+    prints = cut(keyed.select(*keys, F.col(text_col).alias("text")).mapInArrow(run, f"{null} boolean, {k_id} long, {k_text} long, fp long"))
     stay = cut(_classes(prints.select("fp", F.struct(*keys).alias("ident")), radius).select("least.*").distinct())
     return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

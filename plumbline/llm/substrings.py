@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import batched, cut, doc_key, remove, utf8
+from plumbline.llm.common import batched, cut, doc_key, remove, unused, utf8
 
 WIDTH = 35
 ANCHOR = 11
@@ -310,7 +310,11 @@ def _candidates(text_col: str, columns: tuple[str, str, str], width: int, anchor
 
 
 class SubstringIndex:
-    """A folder of sorted runs of the windows of all batches so far: their fingerprints, to be met, and their words, to verify."""
+    """A folder of sorted runs of the windows of all batches so far: their fingerprints, to be met, and their words, to verify.
+
+    Documents are not kept, only windows, each once; so ids, nulls and columns of the batches do not matter, a batch
+    that is given twice is found as repeated, and an empty one adds an empty run.
+    """
 
     def __init__(self, path: str, fan_in: int = 8):
         self.path, self.fan_in = path.rstrip("/"), fan_in
@@ -383,15 +387,6 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id
     return _spans(_found(docs, width, anchor, 64, id_col, text_col, _tasks(docs, text_col), None).where("marked"))
 
 
-def _unused(names: list[str], taken: list[str]) -> list[str]:
-    """The names, with underscores before them until none is taken."""
-    low = {c.lower() for c in taken}
-    for i, name in enumerate(names):
-        while names[i] in low:
-            names[i] = "_" + names[i]
-    return names
-
-
 def remove_repeats(
     docs: DataFrame,
     width: int = WIDTH,
@@ -415,7 +410,7 @@ def remove_repeats(
     docs = docs.drop(*names)
     columns, spark = docs.columns, docs.sparkSession
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())])
-    own_id, own_text, spans, r_id, r_text, alone = _unused(["_own_id", "_own_text", "_spans", "_r_id", "_r_text", "_alone"], columns)
+    own_id, own_text, spans, r_id, r_text, alone = unused(["_own_id", "_own_text", "_spans", "_r_id", "_r_text", "_alone"], columns)
     k_id, k_text = doc_key(id_col, text_col)
     keyed, tasks = docs.withColumns({own_id: k_id, own_text: k_text}), _tasks(docs, text_col)
 

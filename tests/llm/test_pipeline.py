@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import decontaminate, quality
@@ -107,3 +108,96 @@ COLUMNS = {
 def test_query(spark, sf, name):
     df = queries()[name](spark, sf)
     assert df.columns == COLUMNS[name].split() and df.count() > 0
+
+
+# --- the stages on rows with nulls, empties, ties, repeats and clashing columns --------------------------------------
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs, rows, tmp_path_factory):
+    """A folder with labels and benchmark for the odd rows, and those rows under columns that clash with names used inside."""
+    at = str(tmp_path_factory.mktemp("odd"))
+    labels = [(r[0], 1, 0) for r in rows[:60]] + [(None, 1, 0), (3, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    items = [(1, "nothing of this kind occurs in any of the texts that are looked through here today"), (None, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    names = {"fp": "fp", "n_words": "n_words_removed"}
+    clash = docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns], F.lit(7).alias("_spans"), F.lit(8).alias("kept_digest"), F.lit("k").alias("_k_id"), F.lit(9).alias("key"), F.lit(5).alias("kept"))
+    return at, clash
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_on_odd_rows(spark, odd, stage):
+    at, clash = odd
+    name, f = corpus_pipeline.STAGES[stage]
+    out = f(spark, clash, at)
+    assert out.columns == clash.columns and out.schema == clash.schema
+    got = out.collect()
+    assert all((r["n_words_removed"], r["_spans"], r["kept_digest"], r["_k_id"], r["key"], r["kept"]) == ("clash", 7, 8, "k", 9, 5) for r in got)
+    given = clash.collect()
+    texts = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
+    if name == "leaks":
+        assert texts(got) == texts(given)
+    elif name == "quality":
+        assert {len(words(r["text"])) >= 10 for r in got} == {True} and texts(got) <= texts(given) and len(got) > 30
+    elif name == "near_duplicates":
+        order = sorted(given, key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+        top = classes([plain_simhash(r["text"]) for r in order])
+        assert texts(got) == texts([order[i] for i in set(top)])
+    else:
+        left = Counter()
+        for r, (n, gone, _) in zip(given, plain_repeats([r["text"] for r in given], 35), strict=True):
+            left[r["doc_id"]] += n > gone or not gone
+        assert Counter(r["doc_id"] for r in got) == +left
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_empty_tables(spark, odd, tmp_path, stage):
+    at, clash = odd
+    _, f = corpus_pipeline.STAGES[stage]
+    assert f(spark, clash.limit(0), at).count() == 0
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert f(spark, clash.limit(0), str(tmp_path)).count() == 0
+    assert stage == 4 or f(spark, clash, str(tmp_path)).count() > 0
+
+
+def test_packing_odd_rows(spark, odd, rows):
+    at, clash = odd
+    pieces = corpus_pipeline.pack(spark, clash, at).collect()
+    tokens = Counter()
+    for p in pieces:
+        tokens[p["doc_id"]] += p["length"]
+    assert set(tokens) == {r[0] for r in rows} and all(n >= 1 for n in tokens.values())
+
+
+def test_forest_by_brute_force():
+    """Path lengths, one row and one split at a time."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((120, 4)).round(1)
+    rows[100:] = rows[0]  # ties
+    forest = quality.IsolationForest(rows, trees=20, sample=32)
+
+    def depth(tree, row):
+        feature, cut, left, found = tree
+        at, steps = 0, 0
+        while feature[at] >= 0:
+            at, steps = left[at] + int(row[feature[at]] > cut[at]), steps + 1
+        assert found[at] >= steps  # what is left together counts as the tree it would be
+        return found[at]
+
+    usual = 2 * (np.log(31) + 0.5772156649) - 2 * 31 / 32
+    want = [2 ** (-np.mean([depth(t, r) for t in forest.trees]) / usual) for r in rows]
+    assert np.allclose(forest.score(rows), want) and len(set(forest.score(rows[100:]).tolist())) == 1
+
+
+def test_cased_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from plumbline.llm import packing
+
+    cased = Tokenizer(models.WordLevel({"The": 0, "the": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(str(tmp_path / "cased.json"))
+    with pytest.raises(ValueError):
+        packing.ChunkTokenizer(str(tmp_path / "cased.json"))
