@@ -231,21 +231,27 @@ def links(fps: DataFrame, radius: int = 4, per_shard: int = 2000, hot: int = 409
 
 
 def _classes(prints: DataFrame, radius: int, hot: int = 1000) -> DataFrame:
-    """``prints(fp, ident)`` -> ``(fp_, least)``: the least ``ident`` of each fingerprint's component."""
-    nodes = prints.groupBy("fp").agg(F.min("ident").alias("least"))
+    """``prints(fp, ident)`` -> ``(fp_, least, rows)``: the least ``ident`` of each fingerprint's component, and how many rows have
+    the fingerprint."""
+    nodes = prints.groupBy("fp").agg(F.min("ident").alias("least"), F.count(F.lit(1)).alias("rows"))
     near = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("top"))
     # Identifiers meet by component in partial sums first, so that a component's size weighs on no task.
     gathered = near.join(nodes.hint("merge"), "fp").groupBy("top").agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("n"))
     tops = nodes.select(F.col("fp").alias("top"), F.col("least").alias("own"))
     found = cut(gathered.join(tops.hint("merge"), "top").select("top", F.least("own", "m").alias("of_all"), "n"))
-    # Components of over ``limit`` fingerprints are at most 10,000; the rest have few rows each.
-    limit = max(hot, near.count() // 10_000)
-    large = F.broadcast(found.where(F.col("n") > limit).select("top", F.col("of_all").alias("of_large")))
-    small = found.where(F.col("n") <= limit).select("top", "of_all").hint("merge")
-    known = near.join(large, "top", "left")
-    moved = known.where("of_large is not null").select("fp", F.col("of_large").alias("of_all"))
-    moved = moved.union(known.where("of_large is null").join(small, "top").select("fp", "of_all")).union(found.select("top", "of_all"))
-    return nodes.join(moved.hint("merge"), "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("of_all", "least").alias("least"))
+    moved = _looked_up(near, "top", found, "n", hot).select("fp", "of_all").union(found.select("top", "of_all"))
+    return cut(nodes.join(moved.hint("merge"), "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("of_all", "least").alias("least"), "rows"))
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, n: str, hot: int) -> DataFrame:
+    """Stored ``rows`` with the columns of ``table`` for their key; ``n`` tells how many rows have it.  Keys of more than ``hot`` rows
+    and than a ten-thousandth of all, which are at most 10,000 keys, are broadcast, so that no task gets one key's rows; the
+    others meet in a merge join."""
+    limit = max(hot, rows.count() // 10_000)
+    hot_keys = F.broadcast(table.where(F.col(n) > limit).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot_keys, key, "left")
+    rest = met.where("_hot is null").select(rows.columns).join(table.where(F.col(n) <= limit).hint("merge"), key)
+    return met.where("_hot").drop("_hot").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -257,8 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns of ``docs`` are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    least = _classes(prints.select("fp", F.col("doc_id").alias("ident")), radius)
-    return prints.join(least, prints.fp == least.fp_).select("doc_id", "fp", F.col("least").alias("component_id"))
+    least = _classes(prints.select("fp", F.col("doc_id").alias("ident")), radius).withColumnRenamed("fp_", "fp")
+    return _looked_up(prints, "fp", least, "rows", 1000).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
