@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ PHRASES = [
     r"(?dim)^\s*(?:thus|therefore|so),?\s+.*?\b(?:is|are)\s+(.+)$",
     r"(?dim)^\s*(?:thus|therefore|so),?\s+.*?\b(?:makes?|earns?|gets?|costs?)\s+(.+)$",
 ]
+#: What a text must hold, in lower case, for the closing phrase in the same place to match.
+HINTS = [("answer",), ("answer",), ("answer",), ("thus", "therefore", "so"), ("thus", "therefore", "so")]
 ANSWERED = r"(?i)(####+|\\boxed\{|final\s+answer|final\s+numerical\s+answer)"
 NUMERIC_LINE = r"^[$\s]*[-+]?\d+(?:,\d{3})*(?:\.\d+)?\s*$"
 ANY_NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
@@ -84,9 +88,11 @@ def final_answer(c: Column, conservative: bool = False) -> Column:
     phrase (its first number), else the text's own number; with ``conservative`` null for texts that seem cut off."""
 
     def of(s: Column) -> Column:
-        marked = let(F.regexp_extract(s, HASHES, 1), lambda x: F.when(x != "", to_number(x, True)))
-        spans = [let(_last(s, p), lambda x: F.when(x.isNotNull(), to_number(x, True))) for p in (ANGLES, BOXED)]
-        closing = [let(_last(s, p), lambda x: F.when(x.isNotNull(), first_number(x))) for p in PHRASES]
+        # A pattern is only tried on texts that hold what it needs; looking for that costs far less.
+        holds = lambda *words: reduce(Column.__or__, [F.lower(s).contains(w) for w in words])
+        marked = F.when(s.contains("####"), let(F.regexp_extract(s, HASHES, 1), lambda x: F.when(x != "", to_number(x, True))))
+        spans = [F.when(s.contains(mark), let(_last(s, p), lambda x: F.when(x.isNotNull(), to_number(x, True)))) for p, mark in ((ANGLES, "<<"), (BOXED, "\\boxed{"))]
+        closing = [F.when(holds(*words), let(_last(s, p), lambda x: F.when(x.isNotNull(), first_number(x)))) for p, words in zip(PHRASES, HINTS, strict=True)]
         rest = to_number(s, True)
         return F.coalesce(marked, *spans, *closing, F.when(~looks_truncated(s), rest) if conservative else rest)
 

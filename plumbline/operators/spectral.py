@@ -110,12 +110,17 @@ def kernel_scores(df: DataFrame, graphs: dict[str, str]) -> DataFrame:
     """``df(qid, <columns of graphs>)`` -> ``(qid, entropies)``; ``graphs`` maps a column of edge weights to a name prefix."""
 
     def compute(b: pa.RecordBatch) -> list[pa.Array]:
-        found: list[list[tuple[str, float]]] = [[] for _ in range(b.num_rows)]
+        # Rows of all sizes have the same names; a row without answers has none.
+        columns: dict[str, np.ndarray] = {}
+        some = np.zeros(b.num_rows, bool)
         for column, prefix in graphs.items():
             for at, w in _stacks(b.column(column)):
+                some[at] = True
                 for name, values in kernel_entropies(w, prefix).items():
-                    for i, v in zip(at.tolist(), values.tolist(), strict=True):
-                        found[i].append((name, v))
-        return [pa.array(found, pa.map_(pa.string(), pa.float64()))]
+                    columns.setdefault(name, np.full(b.num_rows, np.nan))[at] = values
+        rows = np.stack(list(columns.values()), 1)[some] if columns else np.zeros((0, 0))
+        ends = np.r_[0, np.cumsum(some * rows.shape[1])].astype(np.int32)
+        names = pa.array(list(columns), pa.string()).take(pa.array(np.tile(np.arange(len(columns)), len(rows))))
+        return [pa.MapArray.from_arrays(pa.array(ends), names, pa.array(rows.ravel()))]
 
     return _map(df, compute, ["entropies"], "entropies map<string,double>")

@@ -294,15 +294,16 @@ for _v, _e in _LOSS.items():
         ),
     )(lambda spark, sf, v=_v: P.score(set_a(spark, sf), labels(spark, GRADED), "discrete_snne", variant=v).select("qid", r6("snne").alias("snne")))
 
+# A single answer has no neighbours: its loss is infinite or no number (null in these queries), or that of the least difference.
 _CLOSS = {"full": "num - den", "only_num": "num", "only_denom": "den", "num_minus_denom": "ln(greatest(exp(num) - exp(den), 1e-8))"}
 for _v, _e in _CLOSS.items():
     query(
         f"cont_snne_{_v}",
         with_pairs(
             GRADED,
-            _SIM + f",\ny AS (SELECT qid, i, ln(sum(exp(s + ln(least(greatest(s, 0), 1) + 1e-8)))) AS num, ln(sum(exp(s + ln(1 + 1e-8)))) AS den FROM sim WHERE i <> j GROUP BY qid, i)\n SELECT qid, round(-avg({_e}), 6) + 0.0 AS snne FROM y GROUP BY qid",
+            _SIM + f",\ny AS (SELECT qid, i, ln(sum(exp(s + ln(least(greatest(s, 0), 1) + 1e-8)))) AS num, ln(sum(exp(s + ln(1 + 1e-8)))) AS den FROM sim WHERE i <> j GROUP BY qid, i)\n SELECT m.qid, round(-avg({_e}), 6) + 0.0 AS snne FROM m LEFT JOIN y ON y.qid = m.qid GROUP BY m.qid",
         ),
-    )(lambda spark, sf, v=_v: P.score(set_a(spark, sf), labels(spark, GRADED), "continuous_snne", variant=v).select("qid", r6("snne").alias("snne")))
+    )(lambda spark, sf, v=_v: P.score(set_a(spark, sf), labels(spark, GRADED), "continuous_snne", variant=v).select("qid", r6(F.when(F.abs("snne") < 1e300, F.col("snne"))).alias("snne")))
 
 
 # --- texts -----------------------------------------------------------------------------------------------------
