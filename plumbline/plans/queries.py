@@ -249,11 +249,12 @@ def cont_luq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _density_sql(k: str) -> str:
+    # Densities are sums of products of short decimals, so halves of the sixth place occur; 1e-9 more rounds them alike.
     return with_pairs(
         GRADED,
         f",\nf AS (SELECT a.qid, t, count(*) / any_value(n)::DOUBLE AS f FROM a JOIN m USING (qid) GROUP BY a.qid, t),\n"
         f"u AS (SELECT DISTINCT qid, ti, tj, CASE WHEN ti = tj THEN 1.0 ELSE {k} END AS k FROM p)\n"
-        " SELECT u.qid, round(sum(x.f * k * y.f), 6) + 0.0 AS density, round(1 - sum(x.f * k * y.f), 6) + 0.0 AS uncertainty FROM u JOIN f x ON x.qid = u.qid AND x.t = ti JOIN f y ON y.qid = u.qid AND y.t = tj GROUP BY u.qid",
+        " SELECT u.qid, round(sum(x.f * k * y.f) + 1e-9, 6) + 0.0 AS density, round(1 - sum(x.f * k * y.f) + 1e-9, 6) + 0.0 AS uncertainty FROM u JOIN f x ON x.qid = u.qid AND x.t = ti JOIN f y ON y.qid = u.qid AND y.t = tj GROUP BY u.qid",
     )
 
 
@@ -263,7 +264,7 @@ _NEAR = lambda l, c: f"(1 - CASE {l} WHEN 2 THEN 1.5 * (1 - {c}) / 2 WHEN 1 THEN
 
 def _density(name: str, sql: str, method: str, **options) -> None:
     query(name, _density_sql(sql))(
-        lambda spark, sf: P.score(set_a(spark, sf), labels(spark, GRADED), method, **options).select("qid", r6("semantic_density").alias("density"), r6("semantic_density_uncertainty").alias("uncertainty"))
+        lambda spark, sf: P.score(set_a(spark, sf), labels(spark, GRADED), method, **options).select("qid", r6(F.col("semantic_density") + 1e-9).alias("density"), r6(F.col("semantic_density_uncertainty") + 1e-9).alias("uncertainty"))
     )
 
 
