@@ -60,6 +60,16 @@ def test_scores_do_not_depend_on_the_layout(spark):
     assert scores[0] == scores[1] and len(scores[0]) == docs.count()
 
 
+def test_several_readers_of_a_slice(spark, monkeypatch):
+    """Slices of the word hash that several tasks read give the scores of one task, to the last bits of a sum."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    net = lm_score.train(docs, rounds=1)
+    want = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs, net).collect()}
+    monkeypatch.setattr(lm_score, "_SLICE_READ", 1000)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs, net).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and len(got) == docs.count()
+
+
 def test_tree_of_averages(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "_FAN", 3)
     rows = [(0, k, float(k % 4 + 1), np.array([k, 1], np.float32).tobytes()) for k in range(30)]
