@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, html_text, licenses, lm_score, packing, quality, sharding, simhash, substrings, warc
+from plumbline.llm.common import cut
 from plumbline.llm.license_sql import scan_sql
 
 
@@ -62,8 +63,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    judged = quality.assess(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+    measured = cut(quality.measure(_read(spark, sf_dir, "documents")))
+    judged = quality.assess_measured(measured, quality.fit_measured(measured, _read(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 

@@ -288,6 +288,29 @@ def test_forest_on_held_out_rows():
     assert (score[clean] <= judge.threshold).mean() > 0.97
 
 
+def test_all_labelled_rows_count(spark):
+    """More labelled rows than a driver should gather: the forest and its threshold are those of all of them, in any layout."""
+    rng = np.random.default_rng(4)
+    n = 21_000
+    known = np.array("a bc def Ghij klmno, pqrstu. vw 12 x# yz!".split())
+    texts = [" ".join(known[rng.integers(0, len(known), m)]) for m in rng.integers(12, 40, n)]
+    ids, good = rng.permutation(10 * n)[:n] - 5, rng.random(n) < 0.9
+    docs = spark.createDataFrame(list(zip(ids.tolist(), texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(zip(ids.tolist(), good.astype(int).tolist(), strict=True)), "doc_id long, quality int")
+    judge = quality.fit(docs.repartition(2), labels.repartition(5))
+    right = set(ids[good].tolist())
+    passing = [r for r in quality.assess(docs, judge).collect() if r["doc_id"] in right and not r["base_failed"]]
+    above = sum(r["score"] > judge.threshold for r in passing)
+    same = sum(r["score"] == judge.threshold for r in passing)
+    assert above <= int(quality.MAX_GOOD_LOST * len(passing)) < above + same
+    want = quality.Judge(np.array([quality.statistics(t.encode()) for t in texts]), good, keys=ids)
+    assert judge.threshold == want.threshold
+    assert all(np.array_equal(a, b) for x, y in zip(judge.forest.trees, want.forest.trees, strict=True) for a, b in zip(x, y, strict=True))
+    for count in (1, 50, 7000, n):
+        at, tree = quality.deal(ids[:count], 300, quality.how_often(count))
+        assert set(at.tolist()) == set(range(count)) and len(set(zip(at.tolist(), tree.tolist(), strict=True))) == len(at)
+
+
 # --- language model --------------------------------------------------------------------------------------------
 
 
