@@ -16,7 +16,7 @@ from plumbline.plans import score as P
 from plumbline.plans.queries import (
     _AUARC, _AUROC, _BLEU, _BLEU_COUNTS, _DOCS, _FAR, _RANK, _SIM, _SUMS, A, EXACT, GRADED, L, SQL, _C, _documents_scored, _norm, _read, exact, labels, query, r6, set_a, set_c, summary_report, qa_report, with_pairs,
 )
-from plumbline.sources import answers, gold
+from plumbline.sources import answers, documents, gold
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -41,7 +41,7 @@ def scan_answers(spark: SparkSession, sf: str) -> DataFrame:
 def _document(spark: SparkSession, rows: DataFrame, element: Column, key: str | None, order: str) -> str:
     at = _place(spark, key or "list")
     head, tail = ("[", "]") if key is None else (f'{{"{key}": [', "]}")
-    answers.write_document(rows.select(element.alias("element"), order), at, head, tail, [order])
+    documents.write_document(rows.select(element.alias("element"), order), at, head, tail, [order])
     return at
 
 

@@ -7,22 +7,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.documents import read_elements, write_document
 from plumbline.sources.schemas import NLI_CACHE
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON with a declared schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """``(qid, question, answers, story_id, turn_id, ordinal)`` of answer-set files.
 
     A single answer may be a bare string instead of an array, and ``question_id`` may stand for ``qid``; ``ordinal``
     is the place in the file, which decides between rows that repeat a question.
     """
-    raw = read_json(spark, path, "answers array<struct<qid:string,question_id:string,question:string,answers:variant,story_id:string,turn_id:int>>")
-    rows = raw.select(F.posexplode("answers").alias("ordinal", "a"))
+    rows = read_elements(spark, path, "answers").select("ordinal", F.from_json("element", "qid string, question_id string, question string, answers variant, story_id string, turn_id int").alias("a"))
     kind = F.schema_of_variant("a.answers")
     many = F.try_variant_get("a.answers", "$", "array<string>")
     one = F.array(F.try_variant_get("a.answers", "$", "string"))
@@ -30,19 +25,6 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("a.qid", "a.question_id").alias("qid"), "a.question", answers.alias("answers"), "a.story_id", "a.turn_id", "ordinal")
 
 
-def write_document(rows: DataFrame, path: str, head: str = "[", tail: str = "]", order: list[str] | None = None) -> None:
-    """One JSON document, UTF-8 as it is: ``rows(element)``, each a piece of JSON, between ``head`` and ``tail``.
-
-    One task writes it, row by row; no row or column holds the whole.  It is meant for exchange with tools that read one
-    document; large tables belong in Parquet.
-    """
-    spark = rows.sparkSession
-    rows = rows.orderBy(*order) if order else rows
-    lines = rows.coalesce(1).select(F.when(F.monotonically_increasing_id() == 0, F.col("element")).otherwise(F.concat(F.lit(","), "element")).alias("value"))
-    edge = lambda text: spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
-    edge(head).union(lines).union(edge(tail)).coalesce(1).write.mode("overwrite").text(path)
-
-
 def write_answers(sets: DataFrame, path: str, arguments: dict[str, object] | None = None) -> None:
     """Answer sets as one document, in the order of ``ordinal`` where there is one, with the arguments under the key that readers of
     the format expect."""

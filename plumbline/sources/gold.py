@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import gold_answer
 from plumbline.functions.text import normalize_answer, remove_extra_spaces
 from plumbline.sources import schemas
-from plumbline.sources.answers import read_json
+from plumbline.sources.documents import read_elements
 
 
 
+def _elements(spark: SparkSession, path: str | list[str], key: str | None, schema: str) -> DataFrame:
+    return read_elements(spark, path, key).select(F.from_json("element", schema).alias("q")).select("q.*")
+
+
 def _normal(refs: Column) -> Column:
     return F.transform(refs, normalize_answer)
 
 
 def trivia(spark: SparkSession, path: str) -> DataFrame:
     """Aliases as they are, human answers normalised."""
-    q = read_json(spark, path, schemas.TRIVIA).select(F.explode("Data").alias("q")).select("q.*")
+    q = _elements(spark, path, "Data", schemas.TRIVIA)
     refs = F.array_distinct(F.concat(F.coalesce("Answer.NormalizedAliases", F.array()), _normal(F.coalesce("Answer.HumanAnswers", F.array()))))
     return q.select(F.col("QuestionId").alias("qid"), F.col("Question").alias("question"), F.lit("").alias("context"), refs.alias("refs"))
 
 
 def coqa(spark: SparkSession, path: str) -> DataFrame:
     """One row per turn; the first answer of the same turn is gold; ``qid`` is story/turn."""
-    stories = read_json(spark, path, schemas.COQA).select(F.explode("data").alias("s")).select("s.*")
+    stories = _elements(spark, path, "data", schemas.COQA)
     turns = stories.select("id", "story", "answers", F.explode("questions").alias("q"))
     gold = F.get(F.filter("answers", lambda a: a["turn_id"] == F.col("q.turn_id")), F.lit(0))
     refs = F.array_distinct(_normal(F.array_compact(F.array(gold["input_text"], gold["span_text"]))))
@@ -34,14 +38,14 @@ def coqa(spark: SparkSession, path: str) -> DataFrame:
 
 def squad(spark: SparkSession, path: str) -> DataFrame:
     """Questions without an answer are left out."""
-    p = read_json(spark, path, schemas.SQUAD).select(F.explode("data.paragraphs").alias("ps")).select(F.explode("ps").alias("p"))
+    p = _elements(spark, path, "data", schemas.SQUAD).select(F.explode("paragraphs").alias("p"))
     q = p.select("p.context", F.explode("p.qas").alias("q")).where(F.size("q.answers") > 0)
     return q.select(F.col("q.id").alias("qid"), F.col("q.question").alias("question"), "context", F.array_distinct(_normal(F.col("q.answers.text"))).alias("refs"))
 
 
 def bioasq(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The union of several files; exact answers are strings, lists, or lists of lists."""
-    q = spark.read.schema(schemas.BIOASQ).option("multiLine", True).json(paths).select(F.explode("questions").alias("q")).select("q.*")
+    q = _elements(spark, paths, "questions", schemas.BIOASQ)
     exact = F.col("exact_answer")
     deep, flat, one = F.flatten(F.try_variant_get(exact, "$", "array<array<string>>")), F.try_variant_get(exact, "$", "array<string>"), F.try_variant_get(exact, "$", "string")
     items = F.try_variant_get(exact, "$", "array<variant>")
@@ -76,7 +80,7 @@ def natural_questions(df: DataFrame) -> DataFrame:
 
 
 def svamp(spark: SparkSession, path: str) -> DataFrame:
-    df = read_json(spark, path, schemas.SVAMP)
+    df = _elements(spark, path, None, schemas.SVAMP)
     return df.select(F.col("ID").alias("qid"), F.concat_ws("\n", "Body", "Question").alias("question"), F.col("Answer").cast("double").alias("gold"))
 
 

@@ -8,13 +8,10 @@ SUBSET = (
     "dataset string, model string, total_questions bigint, total_wrong bigint, total_bad_rouge bigint, `uq_threshold (bottom 20.0%)` double, "
     "`rouge_l_threshold (bottom 25%)` double, wrong_and_low_uq_count bigint, bad_rouge_and_low_uq_count bigint, oc_ratio double, qids array<string>"
 )
-TRIVIA = "Data array<struct<QuestionId:string,Question:string,Answer:struct<NormalizedAliases:array<string>,HumanAnswers:array<string>>>>"
-COQA = (
-    "data array<struct<id:string,story:string,questions:array<struct<turn_id:int,input_text:string>>,"
-    "answers:array<struct<turn_id:int,input_text:string,span_text:string>>>>"
-)
-SQUAD = "data array<struct<paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>>>"
-BIOASQ = "questions array<struct<id:string,body:string,ideal_answer:array<string>,exact_answer:variant>>"
+TRIVIA = "QuestionId string, Question string, Answer struct<NormalizedAliases:array<string>,HumanAnswers:array<string>>"
+COQA = "id string, story string, questions array<struct<turn_id:int,input_text:string>>, answers array<struct<turn_id:int,input_text:string,span_text:string>>"
+SQUAD = "paragraphs array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>"
+BIOASQ = "id string, body string, ideal_answer array<string>, exact_answer variant"
 SVAMP = "ID string, Body string, Question string, Answer double"
 NATURAL_QUESTIONS = (
     "id string, question struct<text:string>, document struct<tokens:struct<token:array<string>,is_html:array<boolean>>>, "

@@ -271,3 +271,51 @@ def test_numbers_of_any_column(spark):
     got = df.select(*[ranking.numeric_value(df, c).alias(c) for c in df.columns]).first().asDict()
     assert {k for k, v in got.items() if math.isnan(v)} == {"texts", "ragged", "map", "word", "holes"}
     assert (got["matrix"], got["text"], got["flags"], got["flag"]) == (2.5, 2.5, 0.5, 1.0)
+
+
+@pytest.mark.parametrize("layout", [{"indent": 4}, {"indent": 0, "separators": (",", ":")}, {}])
+def test_documents_in_splits(spark, tmp_path, layout):
+    """A document is read and written by as many tasks as it has splits, with the same elements and places."""
+    from plumbline.sources import documents
+
+    odd = ['a "quoted] [text\\', "{,}", "line\nend\u2028é", ""]
+    rows = [{"qid": str(i), "question": odd[i % 4], "answers": [odd[(i + j) % 4] * (1 + i % 5) for j in range(i % 7)]} for i in range(60)]
+    whole = {"generaion_args": {"answers": [1, 2]}, "first": [[1], {"answers": [3]}], "answers": rows, "last": [{"qid": "no"}]}
+    (tmp_path / "a.json").write_text(json.dumps(whole, ensure_ascii=False, **layout), "utf-8")
+    (tmp_path / "list.json").write_text(json.dumps(rows, **layout), "utf-8")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "997")
+    try:
+        found = answers.read_answers(spark, str(tmp_path / "a.json"))
+        got = sorted((r["ordinal"], r["qid"], r["question"], r["answers"]) for r in found.collect())
+        assert got == [(i, r["qid"], r["question"], r["answers"]) for i, r in enumerate(rows)]
+        got = sorted((r["ordinal"], json.loads(r["element"])) for r in documents.read_elements(spark, str(tmp_path / "list.json"), None).collect())
+        assert [x for _, x in got] == rows and [k for k, _ in got] == list(range(60))
+        if layout:
+            assert found.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_parts_of_documents(spark, tmp_path):
+    from plumbline.sources import documents
+
+    out = str(tmp_path / "out")
+    rows = spark.range(5000).select(F.format_string('{"n": %d}', F.col("id")).alias("element"), "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        documents.write_document(rows, out, '{"x": [', "]}", ["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = sorted(Path(out).glob("part-*"))
+    assert len(parts) > 3 and [x["n"] for x in json.loads("".join(p.read_text("utf-8") for p in parts))["x"]] == list(range(5000))
+    assert documents.read_elements(spark, out, "x").where(F.col("ordinal") == F.get_json_object("element", "$.n").cast("int")).count() == 5000
+    documents.write_document(rows.limit(0), out, "[", "]", ["id"])
+    assert documents.read_elements(spark, out, None).count() == 0
+    bad = put(tmp_path, "bad.json", {"x": [1]})
+    with pytest.raises(Exception, match="no list"):
+        documents.read_elements(spark, bad, None)
+    Path(bad).write_text('{"x": [1', "utf-8")
+    with pytest.raises(ValueError, match="no whole JSON document"):
+        documents.read_elements(spark, bad, "x")
