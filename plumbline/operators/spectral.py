@@ -77,24 +77,68 @@ def kernel_entropies(w: np.ndarray, prefix: str = "") -> dict[str, np.ndarray]:
 
 def _stacks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, stacked matrices) for each size of matrix in a column of lists of lists."""
-    rows = column.to_pylist()
-    sizes = np.array([len(r or ()) for r in rows])
-    for n in np.unique(sizes):
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = column.flatten()
+    if len(rows) and not np.array_equal(rows.value_lengths().to_numpy(zero_copy_only=False), np.repeat(sizes, sizes)):
+        raise ValueError("a matrix is not square")
+    cells = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes.astype(np.int64) ** 2) - sizes.astype(np.int64) ** 2
+    for n in np.unique(sizes).tolist():
         if n:
             at = np.flatnonzero(sizes == n)
-            yield at, np.array([rows[i] for i in at], np.float64)
+            yield at, cells[starts[at, None] + np.arange(n * n)].reshape(-1, n, n)
 
 
-def _map(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
+#: How many rows are worked on at once, and how many graphs' entropies a worker keeps.
+ROWS, KEPT = 1024, 4096
+_known: dict[tuple, np.ndarray] = {}
+
+
+def _sorted_nodes(w: np.ndarray) -> np.ndarray:
+    """Stacked matrices with their nodes in the order of the nodes' sorted weights, so that most graphs that differ in the order of
+    their nodes alone become equal."""
+    order = np.lexsort(np.moveaxis(np.sort(w, -1), -1, 0)[::-1], axis=-1)
+    w = np.take_along_axis(w, order[..., :, None], -2)
+    return np.ascontiguousarray(np.take_along_axis(w, order[..., None, :], -1))
+
+
+def distinct_entropies(w: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """``kernel_entropies`` as names and a row a graph.  They don't depend on the order of nodes, and sets of few distinct answers
+    repeat each other's graphs, so each graph is decomposed once; a worker keeps the last few thousand."""
+    n = w.shape[-1]
+    graphs = _sorted_nodes(w)
+    _, first, which = np.unique(graphs.reshape(len(w), -1).view(np.dtype((np.void, 8 * n * n))).ravel(), return_index=True, return_inverse=True)
+    keys = [(n, graphs[i].tobytes()) for i in first.tolist()]
+    new = [i for i, key in enumerate(keys) if key not in _known]
+    rows = {key: _known[key] for key in keys if key in _known}
+    if new or not _names:
+        found = kernel_entropies(graphs[first[new or [0]]])
+        _names[:] = list(found)
+        values = np.stack(list(found.values()), 1)
+        rows |= {keys[i]: values[k] for k, i in enumerate(new)}
+        if len(_known) + len(new) > KEPT:
+            _known.clear()
+        _known.update((keys[i], rows[keys[i]].copy()) for i in new[:KEPT])
+    return _names, np.stack([rows[key] for key in keys])[which]
+
+
+_names: list[str] = []
+
+
+def _map(df: DataFrame, compute: Callable[[pa.RecordBatch], list[pa.Array]], names: list[str], schema: str, keep: tuple[str, ...]) -> DataFrame:
+    kept = ["qid", *keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("qid"), *compute(b)], ["qid", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *compute(b)], [*kept, *names])
 
-    return df.mapInArrow(run, f"qid {df.schema['qid'].dataType.simpleString()}, {schema}")
+    return df.mapInArrow(run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + f", {schema}")
 
 
-def graph_scores(df: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``df(qid, weights)`` -> ``(qid, u_eigv, u_ecc, c_ecc)``; null without answers."""
+def graph_scores(df: DataFrame, threshold: float = 0.9, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df(qid, weights)`` -> ``(qid, <keep>, u_eigv, u_ecc, c_ecc)``; null without answers."""
 
     def compute(b: pa.RecordBatch) -> list[pa.Array]:
         eigv, ecc, each = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
@@ -103,24 +147,28 @@ def graph_scores(df: DataFrame, threshold: float = 0.9) -> DataFrame:
                 eigv[i], ecc[i], each[i] = float(x), float(y), z.tolist()
         return [pa.array(eigv, pa.float64()), pa.array(ecc, pa.float64()), pa.array(each, pa.list_(pa.float64()))]
 
-    return _map(df, compute, ["u_eigv", "u_ecc", "c_ecc"], "u_eigv double, u_ecc double, c_ecc array<double>")
+    return _map(df, compute, ["u_eigv", "u_ecc", "c_ecc"], "u_eigv double, u_ecc double, c_ecc array<double>", keep)
 
 
-def kernel_scores(df: DataFrame, graphs: dict[str, str]) -> DataFrame:
-    """``df(qid, <columns of graphs>)`` -> ``(qid, entropies)``; ``graphs`` maps a column of edge weights to a name prefix."""
+def kernel_scores(df: DataFrame, graphs: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df(qid, <columns of graphs>)`` -> ``(qid, <keep>, entropies)``; ``graphs`` maps a column of edge weights to a name prefix."""
 
     def compute(b: pa.RecordBatch) -> list[pa.Array]:
         # Rows of all sizes have the same names; a row without answers has none.
-        columns: dict[str, np.ndarray] = {}
+        blocks: dict[str, np.ndarray] = {}
         some = np.zeros(b.num_rows, bool)
+        names: list[str] = []
         for column, prefix in graphs.items():
             for at, w in _stacks(b.column(column)):
                 some[at] = True
-                for name, values in kernel_entropies(w, prefix).items():
-                    columns.setdefault(name, np.full(b.num_rows, np.nan))[at] = values
-        rows = np.stack(list(columns.values()), 1)[some] if columns else np.zeros((0, 0))
+                own, values = distinct_entropies(w)
+                if prefix not in blocks:
+                    blocks[prefix] = np.full((b.num_rows, len(own)), np.nan)
+                    names += [prefix + name for name in own]
+                blocks[prefix][at] = values
+        rows = np.concatenate(list(blocks.values()), 1)[some] if blocks else np.zeros((0, 0))
         ends = np.r_[0, np.cumsum(some * rows.shape[1])].astype(np.int32)
-        names = pa.array(list(columns), pa.string()).take(pa.array(np.tile(np.arange(len(columns)), len(rows))))
-        return [pa.MapArray.from_arrays(pa.array(ends), names, pa.array(rows.ravel()))]
+        keys = pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), len(rows))))
+        return [pa.MapArray.from_arrays(pa.array(ends), keys, pa.array(rows.ravel()))]
 
-    return _map(df, compute, ["entropies"], "entropies map<string,double>")
+    return _map(df, compute, ["entropies"], "entropies map<string,double>", keep)

@@ -41,19 +41,19 @@ def continuous_graph(m: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def _graph(w: DataFrame, threshold: float, keep: bool = False) -> DataFrame:
+    found = spectral.graph_scores(w, threshold, keep=("weights",))  # the matrix comes along, so nothing is computed or joined twice
     extra = [graph.u_deg(F.col("weights")).alias("u_deg"), graph.c_deg(F.col("weights")).alias("c_deg")]
     if keep:
         extra += [F.col("weights").alias("similarity_matrix"), graph.laplacian(F.col("weights")).alias("laplacian")]
-    return spectral.graph_scores(w, threshold).join(w.select("qid", *extra), "qid")
+    return found.select("qid", "u_eigv", "u_ecc", "c_ecc", *extra)
 
 
 def kernel(m: DataFrame, strict: bool = True) -> DataFrame:
     """193 entropies: of the clusters, and 64 of each of three graphs."""
     g = m.select("qid", clusters.semantic_ids(L, strict).alias("semantic_ids"), graph.complete_edges(L).alias("g0"), graph.label_edges(L).alias("g1"), graph.confidence_edges(C).alias("g2"))
-    found = spectral.kernel_scores(g, {"g0": "", "g1": "weighted_", "g2": "weighted_deberta_"})
-    ids = g.select("qid", "semantic_ids")
+    found = spectral.kernel_scores(g, {"g0": "", "g1": "weighted_", "g2": "weighted_deberta_"}, keep=("semantic_ids",))
     own = F.create_map(F.lit("cluster_assignment_entropy"), clusters.cluster_entropy(F.col("semantic_ids")))
-    return found.join(ids, "qid").select("qid", "semantic_ids", F.map_concat(own, "entropies").alias("entropies"))
+    return found.select("qid", "semantic_ids", F.map_concat(own, "entropies").alias("entropies"))
 
 
 def pair_entailment(strict: bool = False, neutral: bool = False, both: bool = False) -> dict:

@@ -234,3 +234,38 @@ def test_ties_of_one_uncertainty_are_parted(spark):
     assert got["auarc"] == pytest.approx((means.sum() - (means[0] + means[-1]) / 2) / (len(q) - 1)) and got["prr"] == pytest.approx(means.mean())
     good, bad = ([r[2] for r in rows if r[3] == k] for k in (1.0, 0.0))
     assert got["auroc"] == pytest.approx(np.mean([(b > a) + 0.5 * (a == b) for a in good for b in bad]))
+
+
+def test_graphs_are_decomposed_once(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    one = rng.random((7, 7)).round(2)
+    one = np.triu(one, 1) + np.triu(one, 1).T
+    orders = [rng.permutation(7) for _ in range(50)]
+    w = np.stack([one[np.ix_(p, p)] for p in orders])
+    want = np.stack(list(spectral.kernel_entropies(w).values()), 1)
+    seen = []
+    real = spectral.kernel_entropies
+    monkeypatch.setattr(spectral, "kernel_entropies", lambda g: seen.append(len(g)) or real(g))
+    spectral._known.clear()
+    for _ in range(2):
+        names, got = spectral.distinct_entropies(w)
+        assert np.allclose(got, want, atol=1e-9) and names == list(real(w[:1]))
+    assert seen == [1]
+
+
+def test_matrices_come_along(spark):
+    """Scores that need a matrix after the eigenvalues neither compute nor join it again, and Python holds few rows at once."""
+    from plumbline.plans import score
+
+    sets = spark.createDataFrame([(str(i), "q", ["a", "b", None, "a"][: i % 5]) for i in range(3000)], "qid string, question string, answers array<string>")
+    cache = spark.createDataFrame([("q", "a", "b", 2, 0.5), ("q", "b", "a", 1, 0.5)], "question string, text1 string, text2 string, label int, confidence double")
+    for method in ("discrete_gwc", "continuous_gwc", "kle"):
+        plan = score.score(sets, cache, method)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 2 and plan.count("MapInArrow") == 1
+    got = {r["qid"]: r for r in score.score(sets.where("size(answers) <> 3 and size(answers) <> 4"), cache, "discrete_gwc").collect()}
+    assert got["0"]["u_eigv"] is None and got["2"]["u_deg"] == pytest.approx(1 - (1 + 1 + 0.75 + 0.75) / 4) and len(got) == 1800
+    twice = cache.union(cache)
+    with pytest.raises(Exception, match="several labels"):
+        score.score(sets, twice, "discrete_luq_pair").collect()
