@@ -40,6 +40,16 @@ def text_pairs(sets: DataFrame) -> DataFrame:
     return one.select("qid", "question", "text1", F.explode(F.filter("d", lambda x: x != F.col("text1"))).alias("text2"))
 
 
+def _texts() -> Column:
+    return F.array_compact(F.array_distinct("answers"))
+
+
+def _placed_pairs(sets: DataFrame) -> DataFrame:
+    """``text_pairs`` with both texts' places among the set's distinct texts: ``(qid, question, text1, text2, i, j)``."""
+    one = sets.select("qid", "question", _texts().alias("d")).select("*", F.posexplode("d").alias("i", "text1"))
+    return one.select("qid", "question", "text1", "i", F.posexplode("d").alias("j", "text2")).where("i <> j")
+
+
 def missing_pairs(sets: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct ``(question, text1, text2)`` without a label: what a provider is asked for."""
     keys = ["question", "text1", "text2"]
@@ -53,22 +63,25 @@ def label_matrices(sets: DataFrame, cache: DataFrame, strict_cache: bool = True)
     """
     keys = ["question", "text1", "text2"]
     known = cache.select(*keys, F.col("label").cast("int").alias("label"), F.col("confidence").cast("double").alias("confidence"))
-    found = text_pairs(sets).join(known, keys, "left")
+    found = _placed_pairs(sets).join(known, keys, "left")
     if strict_cache:
         found = found.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("no label for: "), F.col("text1"), F.lit(" / "), F.col("text2"))).cast("int")).otherwise(F.col("label")))
     else:
         found = found.withColumns({"label": F.coalesce("label", F.lit(MISSING[0])), "confidence": F.coalesce("confidence", F.lit(MISSING[1]))})
-    entry = F.struct(F.struct("text1", "text2").alias("key"), F.struct("label", "confidence").alias("value"))
-    maps = found.groupBy("qid").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    joined = sets.join(maps, "qid", "left")
+    # Sorted by both places, a set's entries are its distinct texts' matrix without the diagonal: cells are found by place.
+    entries = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "j", "label", "confidence"))).alias("e"))
+    texts = _texts()
+    placed = sets.join(entries, "qid", "left").select("*", F.size(texts).alias("n"), let(texts, lambda d: F.transform("answers", lambda a: (F.array_position(d, a) - 1).cast("int"))).alias("at"))
+    whole = F.coalesce(F.size("e"), F.lit(0)) == F.col("n") * (F.col("n") - 1)
+    placed = placed.withColumn("e", F.when(whole, F.col("e")).otherwise(F.raise_error(F.concat(F.lit("several labels of one pair, or sets of one qid: "), F.col("qid").cast("string")))))
 
     def matrix(field: str, same: float, kind: str) -> Column:
-        def cell(a: Column, b: Column) -> Column:
-            return F.when(a == b, F.lit(same)).otherwise(F.try_element_at("m", F.struct(a.alias("text1"), b.alias("text2")))[field]).cast(kind)
+        def cell(values: Column, i: Column, j: Column) -> Column:
+            return F.when(i == j, F.lit(same).cast(kind)).otherwise(F.get(values, i * (F.col("n") - 1) + j - F.when(j > i, 1).otherwise(0)))
 
-        return F.transform("answers", lambda a: F.transform("answers", lambda b: cell(a, b)))
+        return let(F.col("e")[field].cast(f"array<{kind}>"), lambda v: F.transform("at", lambda i: F.transform("at", lambda j: cell(v, i, j))))
 
-    return joined.select("qid", "question", "answers", matrix("label", SAME[0], "int").alias("labels"), matrix("confidence", SAME[1], "double").alias("confidences"))
+    return placed.select("qid", "question", "answers", matrix("label", SAME[0], "int").alias("labels"), matrix("confidence", SAME[1], "double").alias("confidences"))
 
 
 def size(matrix: Column | str) -> Column:
