@@ -39,7 +39,7 @@ def _strip(c: Column) -> Column:
 
 def _plain(c: Column) -> Column:
     """The whole text as a number, as Python reads it; else null."""
-    return F.when(c.rlike(PLAIN) | c.rlike(SPECIAL), F.regexp_replace(c, "_", "").try_cast("double"))
+    return F.when(c.rlike(PLAIN) | c.rlike(SPECIAL), F.translate(c, "_", "").try_cast("double"))
 
 
 def _spans(c: Column) -> Column:
@@ -47,22 +47,22 @@ def _spans(c: Column) -> Column:
 
 
 def _span_value(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").try_cast("double")
+    return F.translate(c, ",", "").try_cast("double")
 
 
 def first_number(c: Column) -> Column:
-    return _span_value(F.get(_spans(_strip(text(c))), F.lit(0)))
+    return _span_value(F.get(_spans(text(c)), F.lit(0)))
 
 
 def last_number(c: Column) -> Column:
-    return let(_spans(_strip(text(c))), lambda spans: _span_value(F.get(spans, F.size(spans) - 1)))
+    return let(_spans(text(c)), lambda spans: _span_value(F.get(spans, F.size(spans) - 1)))
 
 
 def to_number(c: Column, dollars: bool = False) -> Column:
     """The text as a number; else as a fraction with a denominator other than 0; else its last number; else null."""
 
     def of(t: Column) -> Column:
-        bare = _strip(F.regexp_replace(t, "[,$]" if dollars else ",", ""))
+        bare = _strip(F.translate(t, ",$" if dollars else ",", ""))
         top, bottom = (F.regexp_extract(t, FRACTION, i).try_cast("double") for i in (1, 2))
         fraction = F.when(t.contains("/"), let(bottom, lambda b: F.when(b != 0, top / b)))
         return F.coalesce(let(bare, _plain), fraction, last_number(t))
@@ -89,12 +89,13 @@ def final_answer(c: Column, conservative: bool = False) -> Column:
 
     def of(s: Column) -> Column:
         # A pattern is only tried on texts that hold what it needs; looking for that costs far less.
-        holds = lambda *words: reduce(Column.__or__, [F.lower(s).contains(w) for w in words])
+        holds = lambda low, *words: reduce(Column.__or__, [low.contains(w) for w in words])
         marked = F.when(s.contains("####"), let(F.regexp_extract(s, HASHES, 1), lambda x: F.when(x != "", to_number(x, True))))
         spans = [F.when(s.contains(mark), let(_last(s, p), lambda x: F.when(x.isNotNull(), to_number(x, True)))) for p, mark in ((ANGLES, "<<"), (BOXED, "\\boxed{"))]
-        closing = [F.when(holds(*words), let(_last(s, p), lambda x: F.when(x.isNotNull(), first_number(x)))) for p, words in zip(PHRASES, HINTS, strict=True)]
+        phrases = lambda low: F.coalesce(*[F.when(holds(low, *words), let(_last(s, p), lambda x: F.when(x.isNotNull(), first_number(x)))) for p, words in zip(PHRASES, HINTS, strict=True)])
+        closing = let(F.lower(s), phrases)
         rest = to_number(s, True)
-        return F.coalesce(marked, *spans, *closing, F.when(~looks_truncated(s), rest) if conservative else rest)
+        return F.coalesce(marked, *spans, closing, F.when(~looks_truncated(s), rest) if conservative else rest)
 
     return let(text(c), of)
 
