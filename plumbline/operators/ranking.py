@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators import curves
 from plumbline.operators.stored import stored
 
 
@@ -143,6 +144,15 @@ def evaluate_long(long: DataFrame, quality: DataFrame, continuous: bool = False,
     ranked = rank(long.join(quality.select("qid", "quality"), "qid"))
     if asked is not None:
         ranked = asked.join(ranked, "uq_column", "left").fillna({"matched": 0})
+    return _measures(ranked, continuous)
+
+
+def evaluate_maps(scores: DataFrame, column: str, quality: DataFrame, continuous: bool = False, usual: list[str] | None = None, decimals: int | None = None) -> DataFrame:
+    """As ``evaluate_long``, of every key of a column of maps (see ``curves.rank_maps``)."""
+    return _measures(curves.rank_maps(scores, column, quality.select("qid", "quality"), usual or [], decimals), continuous)
+
+
+def _measures(ranked: DataFrame, continuous: bool) -> DataFrame:
     main = "prr" if continuous else "auroc"
     cell = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
     return ranked.select("uq_column", F.explode(F.array(cell("matched"), cell(main), cell("auarc"))).alias("x")).select("uq_column", "x.*")

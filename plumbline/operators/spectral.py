@@ -150,14 +150,20 @@ def graph_scores(df: DataFrame, threshold: float = 0.9, keep: tuple[str, ...] =
     return _map(df, compute, ["u_eigv", "u_ecc", "c_ecc"], "u_eigv double, u_ecc double, c_ecc array<double>", keep)
 
 
-def kernel_scores(df: DataFrame, graphs: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """``df(qid, <columns of graphs>)`` -> ``(qid, <keep>, entropies)``; ``graphs`` maps a column of edge weights to a name prefix."""
+def entropy_names() -> list[str]:
+    """The names of ``kernel_entropies``, in order."""
+    return list(kernel_entropies(np.zeros((1, 2, 2))))
+
+
+def kernel_scores(df: DataFrame, graphs: dict[str, str], keep: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
+    """``df(qid, <columns of graphs>)`` -> ``(qid, <keep>, entropies)``; ``graphs`` maps a column of edge weights to a name prefix.  The numbers
+    in the columns ``first`` lead each map, under their columns' names."""
 
     def compute(b: pa.RecordBatch) -> list[pa.Array]:
-        # Rows of all sizes have the same names; a row without answers has none.
+        # Rows of all sizes have the same names; a row without answers has none but the first.
         blocks: dict[str, np.ndarray] = {}
         some = np.zeros(b.num_rows, bool)
-        names: list[str] = []
+        names = list(first)
         for column, prefix in graphs.items():
             for at, w in _stacks(b.column(column)):
                 some[at] = True
@@ -166,9 +172,14 @@ def kernel_scores(df: DataFrame, graphs: dict[str, str], keep: tuple[str, ...] =
                     blocks[prefix] = np.full((b.num_rows, len(own)), np.nan)
                     names += [prefix + name for name in own]
                 blocks[prefix][at] = values
-        rows = np.concatenate(list(blocks.values()), 1)[some] if blocks else np.zeros((0, 0))
-        ends = np.r_[0, np.cumsum(some * rows.shape[1])].astype(np.int32)
-        keys = pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), len(rows))))
-        return [pa.MapArray.from_arrays(pa.array(ends), keys, pa.array(rows.ravel()))]
+        lead = [b.column(c) for c in first]
+        rows = np.concatenate([np.zeros((b.num_rows, 0)), *(c.fill_null(0).to_numpy(zero_copy_only=False)[:, None] for c in lead), *blocks.values()], 1)
+        null, held = np.zeros(rows.shape, bool), np.ones(rows.shape, bool)
+        for k, c in enumerate(lead):
+            null[:, k] = c.is_null().to_numpy(zero_copy_only=False)
+        held[~some, len(lead) :] = False
+        ends = np.r_[0, np.cumsum(held.sum(1))].astype(np.int32)
+        keys = pa.array(names, pa.string()).take(pa.array(np.nonzero(held)[1]))
+        return [pa.MapArray.from_arrays(pa.array(ends), keys, pa.array(rows[held], mask=null[held]))]
 
     return _map(df, compute, ["entropies"], "entropies map<string,double>", keep)

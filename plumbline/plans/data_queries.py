@@ -221,14 +221,14 @@ v AS (SELECT qid, t, count(*) AS c FROM a GROUP BY qid, t), top AS (SELECT qid,
 acc AS (SELECT qid, (coalesce(mode, t) = 'click')::INT::DOUBLE AS quality FROM top JOIN a USING (qid) WHERE i = 0)"""
 
 
-def _ranked(name: str, rows: list, method: str, scores: Callable[[DataFrame], DataFrame], columns: list[str], sql: str) -> None:
-    """The whole evaluation of a method's scores, of the columns with a closed form."""
+def _ranked(name: str, rows: list, method: str, scores: Callable[[DataFrame], DataFrame], columns: list[str], sql: str, **options) -> None:
+    """The whole evaluation of a method's scores; its rows of the columns with a closed form."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         sets = set_a(spark, sf)
         given = sets.select("qid", F.array(F.lit("click")).alias("refs"))
         found = scores(P.score(sets, labels(spark, rows), method))
-        out = evaluate.run(given, sets.withColumn("ordinal", F.lit(0)), "triviaqa", found, task="uq", method=method)["ranking"]
+        out = evaluate.run(given, sets.withColumn("ordinal", F.lit(0)), "triviaqa", found, task="uq", method=method, **options)["ranking"]
         return out.where(F.col("uq_column").isin(columns)).select("uq_column", "metric", r6("value").alias("value"))
 
     query(
@@ -239,8 +239,9 @@ def _ranked(name: str, rows: list, method: str, scores: Callable[[DataFrame], Da
 
 
 _ranked(
-    "uq_eval_kle", EXACT, "kle", lambda s: s.withColumn("entropies", F.transform_values("entropies", lambda _, v: r6(v))), ["cluster_assignment_entropy"],
+    "uq_eval_kle", EXACT, "kle", lambda s: s, ["cluster_assignment_entropy"],
     ",\nx AS (SELECT qid, 'cluster_assignment_entropy' AS uq_column, round(-sum(f * ln(f)), 6) + 0.0 AS uq FROM (SELECT a.qid, t, count(*) / any_value(n)::DOUBLE AS f FROM a JOIN m USING (qid) GROUP BY a.qid, t) GROUP BY qid)",
+    decimals=6,
 )
 _ranked(
     "uq_eval_continuous_gwc", GRADED, "continuous_gwc", lambda s: s.withColumn("u_deg", r6("u_deg")), ["u_deg"],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import joins, ranking, reports
+from plumbline.plans.score import KERNEL_NAMES
 
 TEXT = ("triviaqa", "coqa", "squad", "bioasq", "nq")
 NUMBER = ("svamp", "gsm8k")
@@ -67,7 +68,7 @@ def long_scores(scores: DataFrame, method: str = "", columns: list[str] | None =
     for under ``wanted`` and then under the usual names.  Without a method the form of the table decides.
     """
     spark, kinds = scores.sparkSession, dict(scores.dtypes)
-    if columns is None and (method == "kle" or not method and kinds.get("entropies", "").startswith("map")):
+    if _is_map(scores, method, columns):
         long = scores.where("entropies is not null").select("qid", F.explode("entropies").alias("uq_column", "uq"))
         return long, long.select("uq_column").distinct()
     if columns is None:
@@ -85,12 +86,21 @@ def long_scores(scores: DataFrame, method: str = "", columns: list[str] | None =
     return ranking.unpivot(scores, columns, confidence), spark.createDataFrame([(c,) for c in columns], "uq_column string")
 
 
-def rank_scores(found: DataFrame, scores: DataFrame, dataset: str, columns: list[str] | None = None, confidence: bool = False, method: str = "", wanted: str | None = None) -> DataFrame:
-    """The ranking report of the scores (see ``long_scores``): PRR for generation, AUROC else."""
+def _is_map(scores: DataFrame, method: str, columns: list[str] | None) -> bool:
+    return columns is None and (method == "kle" or not method and dict(scores.dtypes).get("entropies", "").startswith("map"))
+
+
+def rank_scores(
+    found: DataFrame, scores: DataFrame, dataset: str, columns: list[str] | None = None, confidence: bool = False, method: str = "", wanted: str | None = None, decimals: int | None = None
+) -> DataFrame:
+    """The ranking report of the scores (see ``long_scores``): PRR for generation, AUROC else.  ``decimals``: the scores of the kernel
+    method's map are rounded to so many first."""
     continuous = family(dataset) == "generation"
     q = found.select("qid", (F.col("rouge_l") if continuous else F.col("accuracy").cast("double")).alias("quality"))
     if "ordinal" in scores.columns:
         scores = joins.first_scores(q.select("qid"), scores)
+    if _is_map(scores, method, columns):
+        return ranking.evaluate_maps(scores, "entropies", q, continuous, KERNEL_NAMES, decimals)
     long, asked = long_scores(scores, method, columns, confidence, wanted)
     return ranking.evaluate_long(long, q, continuous, asked)
 
@@ -100,7 +110,7 @@ def explode_entropies(kernel: DataFrame) -> DataFrame:
     return long_scores(kernel, "kle")[0]
 
 
-def run(gold: DataFrame, answers: DataFrame, dataset: str, scores: DataFrame | None = None, columns: list[str] | None = None, task: str = "both", method: str = "", direction: str | None = None, **options) -> dict[str, DataFrame]:
+def run(gold: DataFrame, answers: DataFrame, dataset: str, scores: DataFrame | None = None, columns: list[str] | None = None, task: str = "both", method: str = "", direction: str | None = None, decimals: int | None = None, **options) -> dict[str, DataFrame]:
     """``task`` is qa, uq or both; returns the quality by question, its report, and the ranking report."""
     if task not in ("qa", "uq", "both"):
         raise ValueError(task)
@@ -109,5 +119,5 @@ def run(gold: DataFrame, answers: DataFrame, dataset: str, scores: DataFrame | N
     if task != "uq":
         out["report"] = report(found, dataset, gold, direction)
     if task != "qa":
-        out["ranking"] = rank_scores(found, scores, dataset, columns, method=method)
+        out["ranking"] = rank_scores(found, scores, dataset, columns, method=method, decimals=decimals)
     return out

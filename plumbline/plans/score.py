@@ -48,12 +48,16 @@ def _graph(w: DataFrame, threshold: float, keep: bool = False) -> DataFrame:
     return found.select("qid", "u_eigv", "u_ecc", "c_ecc", *extra)
 
 
+#: The graphs' columns and the prefixes of their entropies' names; all names in the order of the map.
+_GRAPHS = {"g0": "", "g1": "weighted_", "g2": "weighted_deberta_"}
+KERNEL_NAMES = ["cluster_assignment_entropy", *(prefix + name for prefix in _GRAPHS.values() for name in spectral.entropy_names())]
+
+
 def kernel(m: DataFrame, strict: bool = True) -> DataFrame:
     """193 entropies: of the clusters, and 64 of each of three graphs."""
     g = m.select("qid", clusters.semantic_ids(L, strict).alias("semantic_ids"), graph.complete_edges(L).alias("g0"), graph.label_edges(L).alias("g1"), graph.confidence_edges(C).alias("g2"))
-    found = spectral.kernel_scores(g, {"g0": "", "g1": "weighted_", "g2": "weighted_deberta_"}, keep=("semantic_ids",))
-    own = F.create_map(F.lit("cluster_assignment_entropy"), clusters.cluster_entropy(F.col("semantic_ids")))
-    return found.select("qid", "semantic_ids", F.map_concat(own, "entropies").alias("entropies"))
+    g = g.withColumn("cluster_assignment_entropy", clusters.cluster_entropy(F.col("semantic_ids")))
+    return spectral.kernel_scores(g, _GRAPHS, keep=("semantic_ids",), first=("cluster_assignment_entropy",))
 
 
 def pair_entailment(strict: bool = False, neutral: bool = False, both: bool = False) -> dict:
