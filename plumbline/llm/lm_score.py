@@ -36,6 +36,8 @@ PER_CLASS = 64
 SIDE, DIM = 2, 16
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _BLOCK = 1 << 14
+#: Exponentials of numbers up to this size, and sums of them, are well inside single precision.
+_LARGEST = 80.0
 #: Words of a training slice, and how many documents' words a slice trains on at a time.
 SLICE_WORDS, _CHUNK_WORDS = 2_000_000, 1 << 17
 #: Slices of the word hash in which counts and words meet: so many at least, and about so many distinct words in each; those
@@ -135,68 +137,84 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def hidden(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hidden(self, framed: np.ndarray, at: np.ndarray, ones: int = 0) -> np.ndarray:
+        """``ones``: so many columns of 1 follow, which meet biases."""
         h = np.tile(self.base, (len(at), 1))
         for table, o in zip(self.side, _OFFSETS, strict=True):
             h += table.take(framed[at + o], axis=0)
-        return np.tanh(h, out=h)
+        np.tanh(h, out=h)
+        return np.concatenate([h, np.ones((len(at), ones), h.dtype)], 1) if ones else h
+
+    def _joined(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with their biases as a last row, of classes and of words; and whether single precision holds the exponentials of
+        all logits as they are: h is between -1 and 1."""
+        to_class, to_word = np.concatenate([self.to_class, self.class_bias[None]]), np.concatenate([self.to_word, self.word_bias[:, None]], 1)
+        return to_class, to_word, bool(max(np.abs(to_class).sum(0).max(), np.abs(to_word).sum(1).max()) < _LARGEST)
 
     @staticmethod
-    def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exponentials and their sums; logits are changed."""
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        return p, p.sum(1)
-
-    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """An order of the rows by class, and (class, begin, end) of those that occur."""
+    def _softmax(logits: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials, in place of the logits, and their sums."""
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+    def _by_class(self, cls: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the rows by class, and (class, begin, end) of those that occur, ``most`` rows at a time."""
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         ends = np.cumsum(np.bincount(cls, minlength=len(self.class_bias))).tolist()
-        return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if lo < hi]
+        return order, [(c, k, min(k + most, hi)) for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) for k in range(lo, hi, most)]
 
-    def log_probabilities(self, framed: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """Of the words at these places, given their neighbours."""
+    def log_probabilities(self, framed: np.ndarray, at: np.ndarray, step: int = 1 << 15, rows: int = 1 << 11) -> np.ndarray:
+        """Of the words at these places, given their neighbours; logits of ``rows`` words at a time, which stay in the cache."""
         out = np.empty(len(at))
+        to_class, to_word, bounded = self._joined()
+        place = np.arange(rows)
+
+        def chosen(h: np.ndarray, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
+            logits = h @ weights
+            if not bounded:
+                logits -= logits.max(1, keepdims=True)
+            z = logits[place[: len(y)], y]
+            return z - np.log(self._softmax(logits, True)[1])
+
         for i in range(0, len(at), step):
             own = at[i : i + step]
-            h, y = self.hidden(framed, own), framed[own]
-            cls, word = np.divmod(y, PER_CLASS)
-            logits = h @ self.to_class + self.class_bias
-            _, total = self._softmax(logits)
-            got = logits[np.arange(len(own)), cls] - np.log(total)
-            order, spans = self._by_class(cls)
+            cls, word = np.divmod(framed[own], PER_CLASS)
+            order, spans = self._by_class(cls, rows)
+            h, cls, word = self.hidden(framed, own[order], 1), cls[order], word[order]
+            got = np.concatenate([chosen(h[k : k + rows], to_class, cls[k : k + rows]) for k in range(0, len(own), rows)])
             for c, lo, hi in spans:
-                rows = order[lo:hi]
-                logits = h[rows] @ self.to_word[c] + self.word_bias[c]
-                _, total = self._softmax(logits)
-                got[rows] += logits[np.arange(len(rows)), word[rows]] - np.log(total)
-            out[i : i + step] = got
+                got[lo:hi] += chosen(h[lo:hi], to_word[c], word[lo:hi])
+            out[i + order] = got
         return out
 
     def train(self, framed: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float = 0.1, batch: int = 4096) -> None:
         """One pass over these places; ``memory`` holds the squared gradients of Adagrad."""
+        dim = len(self.base)
         for i in range(0, len(at), batch):
             own = at[i : i + batch]
-            n, h, y = len(own), self.hidden(framed, own), framed[own]
+            n, y = len(own), framed[own]
             cls, word = np.divmod(y, PER_CLASS)
-            rows = np.arange(n)
-            p, total = self._softmax(h @ self.to_class + self.class_bias)
-            p /= total[:, None]
+            order, spans = self._by_class(cls, n)
+            own, cls, word = own[order], cls[order], word[order]
+            h, rows = self.hidden(framed, own, 1), np.arange(n)
+            to_class, to_word, bounded = self._joined()
+            p, total = self._softmax(h @ to_class, bounded)
+            p *= (1 / total)[:, None]
             p[rows, cls] -= 1
-            grads = [None] * 4
-            grads[0], grads[2] = h.T @ p, p.sum(0)
+            by_class, by_word = h.T @ p, np.zeros_like(to_word)
             dh = p @ self.to_class.T
-            grads[1], grads[3] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-            order, spans = self._by_class(cls)
-            sorted_h, sorted_word = h[order], word[order]
-            back = np.zeros_like(sorted_h)
+            back = np.empty_like(dh)
             for c, lo, hi in spans:
-                q, total = self._softmax(sorted_h[lo:hi] @ self.to_word[c] + self.word_bias[c])
-                q /= total[:, None]
-                q[rows[: hi - lo], sorted_word[lo:hi]] -= 1
-                grads[1][c], grads[3][c] = sorted_h[lo:hi].T @ q, q.sum(0)
+                own_h = h[lo:hi]
+                q, total = self._softmax(own_h @ to_word[c], bounded)
+                q *= (1 / total)[:, None]
+                q[rows[: hi - lo], word[lo:hi]] -= 1
+                np.matmul(own_h.T, q, out=by_word[c])
                 np.matmul(q, self.to_word[c].T, out=back[lo:hi])
-            dh[order] += back
+            dh += back
+            h = h[:, :dim]
             dh *= 1 - h * h
             k = len(self.side)
             for j, (table, o) in enumerate(zip(self.side, _OFFSETS, strict=True)):
@@ -205,10 +223,14 @@ class Network:
                 near = near[order]
                 first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
                 seen, g = near[first], np.add.reduceat(dh[order], first)
-                m = memory[j][seen] + g * g
+                m = memory[j][seen]
+                m += g * g
                 memory[j][seen] = m
-                table[seen] -= rate * g / np.sqrt(m + 1e-6)
-            for part, g, m in zip(self.parts()[k:], [dh.sum(0), *grads], memory[k:], strict=True):
+                m += 1e-6
+                g *= rate
+                g /= np.sqrt(m, out=m)
+                table[seen] -= g
+            for part, g, m in zip(self.parts()[k:], [dh.sum(0), by_class[:dim], by_word[:, :dim], by_class[dim], by_word[:, dim]], memory[k:], strict=True):
                 m += g * g
                 part -= rate * g / np.sqrt(m + 1e-6)
 
