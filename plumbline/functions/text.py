@@ -87,19 +87,27 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table folded over ``a``.  A word changes the row only
-    from the places on where ``b`` has it, so words that ``b`` lacks cost one pass of comparisons."""
-    places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
+    """Length of the longest common subsequence: of the words that both sides have, one row of the table folded over ``a``.  A
+    word changes the row only from the places on where ``b`` has it."""
 
     def raised(row: Column, found: Column) -> Column:
         at = lambda x, j: F.aggregate(found, x, lambda most, k: F.when(k <= j, F.greatest(most, F.get(row, k - 1) + 1)).otherwise(most))
-        return F.when(F.size(found) == 0, row).otherwise(F.transform(row, at))
+        return F.transform(row, at)
 
     def fold(held: Column) -> Column:
-        step = lambda row, word: let(F.filter(held["places"], lambda k: F.get(held["b"], k - 1) == word), lambda found: raised(row, found))
-        return F.array_max(F.aggregate(held["a"], F.array_repeat(F.lit(0), F.size(held["b"]) + 1), step))
+        places = F.when(F.size(held["b"]) > 0, F.sequence(F.lit(1), F.size(held["b"]))).otherwise(F.array().cast("array<int>"))
+        step = lambda row, word, places: let(F.filter(places, lambda k: F.get(held["b"], k - 1) == word), lambda found: raised(row, found))
+        return let(places, lambda p: F.array_max(F.aggregate(held["a"], F.array_repeat(F.lit(0), F.size(held["b"]) + 1), lambda row, word: step(row, word, p))))
 
-    return let(F.struct(a.alias("a"), b.alias("b"), places.alias("places")), fold)
+    def shared(held: Column) -> Column:
+        own = lambda words: F.filter(words, lambda w: F.array_contains(held["both"], w))
+        return let(F.struct(own(held["a"]).alias("a"), own(held["b"]).alias("b")), fold)
+
+    def compared(a: Column, b: Column) -> Column:
+        both = F.struct(a.alias("a"), b.alias("b"), F.array_intersect(a, b).alias("both"))
+        return let(both, lambda held: F.when(F.size(held["both"]) == 0, F.lit(0)).otherwise(shared(held)))
+
+    return _both(a, b, compared)
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
@@ -117,7 +125,11 @@ def words_alike(a: Column, b: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return let(words, lambda own: F.when(F.size(own) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.array_join(F.slice(own, i, n), " "))))
+    if n == 1:
+        return F.coalesce(words, F.array().cast("array<string>"))
+    # A slice would copy the whole array for each place.
+    gram = lambda own, i: F.concat_ws(" ", *[F.get(own, i + k) for k in range(n)])
+    return let(words, lambda own: F.when(F.size(own) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: gram(own, i))))
 
 
 def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
@@ -130,14 +142,15 @@ def best(references: Column, measure) -> Column:
 
 
 def clipped(prediction: Column, references: Column, n: int) -> Column:
-    """n-grams of the prediction that the references hold, each counted at most as often as in the fullest reference."""
+    """n-grams of the prediction that the references hold, each counted at most as often as in the fullest reference.  Which ones are
+    held is found by hash; only those are counted."""
 
     def matched(grams: Column, held: Column, g: Column) -> Column:
         most = F.array_max(F.transform(held, lambda r: F.size(F.filter(r, lambda x: x == g))))
         return F.least(F.size(F.filter(grams, lambda x: x == g)), F.coalesce(most, F.lit(0)))
 
     grams, held = ngrams(prediction, n), F.transform(references, lambda r: ngrams(r, n))
-    return _both(grams, held, lambda own, refs: F.aggregate(F.array_distinct(own), F.lit(0), lambda total, g: total + matched(own, refs, g)))
+    return _both(grams, held, lambda own, refs: F.aggregate(F.array_intersect(own, F.flatten(refs)), F.lit(0), lambda total, g: total + matched(own, refs, g)))
 
 
 def closest_length(prediction: Column, references: Column) -> Column:
@@ -161,7 +174,8 @@ def sentence_bleu(prediction: Column, references: Column) -> Column:
 def _bleu(a: Column, refs: Column) -> Column:
     empty = (F.size(a) == 0) | (F.coalesce(F.array_max(F.transform(refs, F.size)), F.lit(0)) == 0)
     totals = [F.greatest(F.size(a) - n + 1, F.lit(0)) for n in (1, 2, 3, 4)]
-    return F.when(empty, F.lit(0.0)).otherwise(bleu_of([clipped(a, refs, n) for n in (1, 2, 3, 4)], totals, F.size(a), closest_length(a, refs)))
+    counted = F.struct(*[clipped(a, refs, n).alias(f"h{n}") for n in (1, 2, 3, 4)], closest_length(a, refs).alias("length"))
+    return F.when(empty, F.lit(0.0)).otherwise(let(counted, lambda c: bleu_of([c[f"h{n}"] for n in (1, 2, 3, 4)], totals, F.size(a), c["length"])))
 
 
 def exact_match_confidence(answers: Column) -> Column:
